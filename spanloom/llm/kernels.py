@@ -163,31 +163,18 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sliding_min_flags(values: np.ndarray, width: int) -> np.ndarray:
-    """Flags of the values that are the leftmost least one of some ``width`` consecutive values."""
+def sliding_min_at(values: np.ndarray, width: int, left: np.ndarray) -> np.ndarray:
+    """Rising indices of the leftmost least value among ``width`` values from each ``left`` on."""
+    if not len(left):
+        return np.zeros(0, np.int64)
     n = len(values)
-    flags = np.zeros(n, bool)
-    if n == 0:
-        return flags
-    if n <= width:
-        flags[int(np.argmin(values))] = True
-        return flags
-    # a block-wise prefix/suffix minimum of (value, index), as one pair of arrays
-    pad = -n % width
-    v = np.concatenate([values, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    rows = np.arange(v.shape[0])[:, None] * width
-    pre = np.minimum.accumulate(v, axis=1)
-    new = np.ones_like(v, bool)
-    new[:, 1:] = v[:, 1:] < pre[:, :-1]
-    pre_at = np.maximum.accumulate(np.where(new, rows + np.arange(width), -1), axis=1)
-    back = v[:, ::-1]
-    suf = np.minimum.accumulate(back, axis=1)
-    new = np.ones_like(v, bool)
-    new[:, 1:] = back[:, 1:] <= suf[:, :-1]
-    suf_at = np.maximum.accumulate(np.where(new, np.arange(width), -1), axis=1)
-    suf_at = (rows + width - 1 - suf_at)[:, ::-1].ravel()
-    suf = suf[:, ::-1].ravel()
-    left, right = np.arange(n - width + 1), np.arange(width - 1, n)
-    a, b = suf[left], pre.ravel()[right]
-    flags[np.where(a <= b, suf_at[left], pre_at.ravel()[right])] = True
-    return flags
+    at = np.arange(n)
+    # doubling: the leftmost least index of 1, 2, 4, ... values, then two overlapping runs
+    run = 1
+    while run * 2 <= width:
+        far = np.minimum(np.arange(n) + run, n - 1)
+        at = np.where(values[at[far]] < values[at], at[far], at)
+        run *= 2
+    a, b = at[left], at[left + width - run]
+    best = np.where(values[b] < values[a], b, a)
+    return np.unique(best)
