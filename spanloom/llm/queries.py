@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, minhash, mixing, quality, secrets, sharding, substring_dedup, toxicity
+from . import decontaminate, html_text, licenses, minhash, mixing, quality, secrets, sharding, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir)).drop("licenses")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -63,7 +67,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_quality, op4_substring_dedup, op5_mixing, op6_minhash, op8_decontamination, op9_secrets, op10_html)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_quality, op4_substring_dedup, op5_mixing, op6_minhash, op7_licenses, op8_decontamination, op9_secrets, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
