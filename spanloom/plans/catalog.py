@@ -2,14 +2,195 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from spanloom.functions import kernels, text
+from spanloom.operators import diff, facts, fingerprint, packs, profile, tokens, variants
+from spanloom.streaming import facts as streaming
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_docs = _table("documents")
+
+
+def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_docs(spark, sf_dir))
+
+
+def _streaming_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = _docs(spark, sf_dir)
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/documents.parquet*")
+    return streaming.drain(spark, streaming.word_counts(stream), uuid.uuid4().hex[:8])
+
+
+def _benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fingerprint.fingerprints(_table("benchmark")(spark, sf_dir), id_column="item_id")
+    return fingerprint.overlap(fingerprint.fingerprints(_docs(spark, sf_dir)), items)
+
+
+def _compare_en_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return profile.compare_profiles(docs.where("lang = 'en'"), docs.where("lang = 'fr'"))
+
+
+def _diff_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table("conversations")(spark, sf_dir)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = turns.select("conv_id", "turn", F.lag("text").over(order).alias("a"), F.col("text").alias("b")).where("a is not null")
+    return diff.diff_texts(pairs)
+
+
+def _envelopes(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text", text.encode_envelope(F.col("text")).alias("e"))
+    back = text.decode_envelope(F.col("e"))
+    return rows.select("doc_id", F.col("e.kind").alias("kind"), (back == F.col("text")).alias("same"), text.sha256_text(back).alias("sha256"))
+
+
+def _token_hashes(docs: DataFrame) -> DataFrame:
+    words = tokens.tokens(docs.select("text")).select(F.col("raw").alias("token")).distinct()
+    left, right = kernels.fnv1a64_utf16(F.col("token")), kernels.fnv1a64_utf8(F.col("token"))
+    return words.select("token", text.u64_hex(left).alias("fnv_utf16"), text.u64_hex(right).alias("fnv_utf8"), F.concat(text.u64_hex(left), text.u64_hex(right)).alias("hash128"))
+
+
+def _xxh64_tokens(docs: DataFrame) -> DataFrame:
+    words = tokens.tokens(docs.select("text")).select(F.col("raw").alias("token")).distinct()
+    return words.select("token", text.u64_hex(kernels.xxh64_utf8(F.col("token"))).alias("xxh64"))
+
+
+def _casefolded(docs: DataFrame) -> DataFrame:
+    folded = tokens.tokens(docs.select("text")).groupBy(text.case_fold_latin(F.col("raw")).alias("token")).agg(F.count(F.lit(1)).alias("count"))
+    return facts.top(folded, 50, ["token"])
+
+
+def _punycode_words(docs: DataFrame) -> DataFrame:
+    words = tokens.tokens(docs.select("text")).select(F.col("raw").alias("token")).where("token rlike '[^\\\\x00-\\\\x7F]'").distinct()
+    rows = words.withColumn("punycode", kernels.punycode_encode(F.col("token")))
+    return rows.withColumn("back", kernels.punycode_decode(F.col("punycode")) == F.col("token"))
+
+
+def _events_jcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table("events")(spark, sf_dir)
+    return events.select("event_id", kernels.jcs_of_json(F.col("props")).alias("jcs")).withColumn("sha256", F.sha2("jcs", 256))
+
+
+QUERIES: dict[str, Query] = {
+    "text_summary": _over_documents(profile.summary),
+    "word_frequencies": _over_documents(facts.word_frequencies),
+    "word_frequencies_by_lang": _over_documents(lambda d: facts.word_frequencies(d, 20, within=["lang"])),
+    "all_token_frequencies": _over_documents(lambda d: facts.word_frequencies(d, 50, keep="all")),
+    "word_totals": _over_documents(facts.word_totals),
+    "word_ngrams_2": _over_documents(lambda d: facts.word_ngrams(d, 2)),
+    "word_ngrams_3": _over_documents(lambda d: facts.word_ngrams(d, 3)),
+    "word_cooccurrence_w3": _over_documents(facts.word_cooccurrence),
+    "repetition_2": _over_documents(facts.repetition),
+    "char_ngrams": _over_documents(facts.char_ngrams),
+    "word_length_histogram": _over_documents(facts.word_length_histogram),
+    "duplicate_lines": _over_documents(facts.duplicate_lines),
+    "grapheme_counts": _over_documents(facts.grapheme_counts),
+    "general_categories": _over_documents(profile.general_categories),
+    "punctuation_whitespace": _over_documents(profile.punctuation_whitespace),
+    "safety_scan": _over_documents(profile.safety),
+    "integrity_counts": _over_documents(profile.integrity),
+    "normalization_flags": _over_documents(profile.normalization_flags),
+    "casefold_tokens": _over_documents(_casefolded),
+    "variant_index": _over_documents(variants.variant_index),
+    "token_hashes": _over_documents(_token_hashes),
+    "token_xxh64": _over_documents(_xxh64_tokens),
+    "fingerprints_by_position": _over_documents(fingerprint.fingerprints),
+    "fingerprints_by_hash": _over_documents(lambda d: fingerprint.fingerprints(d, dedupe="by-hash")),
+    "fingerprint_index_stats": _over_documents(lambda d: fingerprint.index_stats(fingerprint.fingerprints(d))),
+    "benchmark_overlap": _benchmark_overlap,
+    "compare_profiles_en_fr": _compare_en_fr,
+    "diff_turns": _diff_turns,
+    "envelope_roundtrip": _over_documents(_envelopes),
+    "punycode_words": _over_documents(_punycode_words),
+    "token_spans": _over_documents(lambda d: tokens.spans(d)),
+    "canonical_json": _events_jcs,
+    "analyze_text": _over_documents(packs.analyze_text),
+    "analyze_corpus": _over_documents(packs.analyze_corpus),
+    "streaming_word_counts": _streaming_word_counts,
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+_WORD = text.WORD.replace("'", "''")
+_LIKE = text.WORD_LIKE
+_ALL = f"SELECT doc_id, lang, regexp_extract_all(text, '{_WORD}') AS al FROM documents"
+_ARR = f"SELECT doc_id, lang, list_filter(al, lambda x: regexp_matches(x, '{_LIKE}')) AS w FROM ({_ALL})"
+_TOK = f"SELECT doc_id, lang, unnest(w) AS token FROM ({_ARR})"
+_GRAM = "SELECT doc_id, unnest(list_transform(range(1, len(w) - {m} + 2), lambda i: {gram})) AS gram FROM (" + _ARR + ") WHERE len(w) >= {m}"
+
+
+def _grams(n: int) -> str:
+    return _GRAM.format(m=n, gram=" || ' ' || ".join(f"w[i + {j}]" for j in range(n)))
+
+
+_FOLD = "replace(replace(lower({x}), 'ß', 'ss'), 'µ', 'μ')"
+_CATEGORY = """CASE WHEN regexp_matches(c, '[A-ZÀ-ÖØ-Þ]') THEN 'Lu' WHEN regexp_matches(c, '[a-zß-öø-ÿµ]') THEN 'Ll' WHEN regexp_matches(c, '[0-9]') THEN 'Nd'
+ WHEN c = ' ' THEN 'Zs' WHEN regexp_matches(c, '[\\x00-\\x1f\\x7f]') THEN 'Cc' WHEN c = '_' THEN 'Pc' WHEN c = '-' THEN 'Pd' WHEN c IN ('(', '[', '{') THEN 'Ps' WHEN c IN (')', ']', '}') THEN 'Pe'
+ WHEN c IN ('$') THEN 'Sc' WHEN c IN ('+', '<', '=', '>', '|', '~') THEN 'Sm' WHEN c IN ('^', '`') THEN 'Sk' ELSE 'Po' END"""
+_CATEGORIES = f"SELECT {_CATEGORY} AS category, CAST(sum(n) AS BIGINT) AS count FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c) GROUP BY 1"
+_PROFILE = (
+    "SELECT n, gram, count, row_number() OVER (PARTITION BY n ORDER BY count DESC, gram) AS rk FROM (SELECT n, substring(text, i, n) AS gram, count(*) AS count FROM ("
+    "SELECT text, n, unnest(range(1, length(text) - n + 2)) AS i FROM documents, (VALUES (2), (3)) AS s(n) WHERE {where} length(text) >= n) GROUP BY n, gram)"
+)
+_CHAR_NGRAMS = f"SELECT n, gram, count FROM ({_PROFILE.format(where='')}) WHERE rk <= 50"
+_SIDE = "SELECT n, gram, count FROM ({p}) WHERE rk <= 50"
+_EN, _FR = "lang = 'en' AND", "lang = 'fr' AND"
+_ENVELOPE = "'sha256:' || sha256(text)"
+
+ORACLES: dict[str, str] = {
+    "text_summary": "SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS code_units, CAST(length(text) AS BIGINT) AS code_points, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
+    "word_frequencies": f"SELECT token, count(*) AS count FROM ({_TOK}) GROUP BY token ORDER BY count DESC, token LIMIT 50",
+    "word_frequencies_by_lang": f"SELECT lang, token, count FROM (SELECT lang, token, count, row_number() OVER (PARTITION BY lang ORDER BY count DESC, token) AS rk FROM (SELECT lang, token, count(*) AS count FROM ({_TOK}) GROUP BY lang, token)) WHERE rk <= 20",
+    "all_token_frequencies": f"SELECT token, count(*) AS count FROM (SELECT unnest(al) AS token FROM ({_ALL})) GROUP BY token ORDER BY count DESC, token LIMIT 50",
+    "word_totals": f"SELECT doc_id, CAST(len(al) AS BIGINT) AS all_tokens, CAST(len(list_filter(al, lambda x: regexp_matches(x, '{_LIKE}'))) AS BIGINT) AS word_tokens FROM ({_ALL})",
+    "word_ngrams_2": f"SELECT gram, count(*) AS count FROM ({_grams(2)}) GROUP BY gram ORDER BY count DESC, gram LIMIT 50",
+    "word_ngrams_3": f"SELECT gram, count(*) AS count FROM ({_grams(3)}) GROUP BY gram ORDER BY count DESC, gram LIMIT 50",
+    "word_cooccurrence_w3": "WITH v AS ("
+    + f"SELECT w, unnest(range(1, len(w) - 1)) AS i FROM ({_ARR}) WHERE len(w) >= 3"
+    + ") SELECT a, b, count(*) AS count FROM ("
+    + " UNION ALL ".join(f"SELECT least(w[i + {p}], w[i + {q}]) AS a, greatest(w[i + {p}], w[i + {q}]) AS b FROM v" for p, q in ((0, 1), (0, 2), (1, 2)))
+    + ") GROUP BY a, b ORDER BY count DESC, a, b LIMIT 50",
+    "repetition_2": f"SELECT doc_id, count(*) AS repeated, CAST(sum(c) AS BIGINT) AS occurrences FROM (SELECT doc_id, gram, count(*) AS c FROM ({_grams(2)}) GROUP BY doc_id, gram HAVING count(*) >= 2) GROUP BY doc_id",
+    "char_ngrams": _CHAR_NGRAMS,
+    "word_length_histogram": f"SELECT CASE WHEN length(token) <= 1 THEN 1 WHEN length(token) <= 2 THEN 2 WHEN length(token) <= 4 THEN 4 WHEN length(token) <= 8 THEN 8 WHEN length(token) <= 16 THEN 16 END AS upto, count(*) AS count FROM ({_TOK}) GROUP BY 1",
+    "duplicate_lines": "SELECT line, count(*) AS count FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY line HAVING count(*) > 1 ORDER BY count DESC, line LIMIT 50",
+    "grapheme_counts": "SELECT doc_id, CAST(length(replace(text, chr(13) || chr(10), 'x')) AS BIGINT) AS graphemes FROM documents",
+    "general_categories": _CATEGORIES,
+    "punctuation_whitespace": f"SELECT CAST(coalesce(sum(CASE WHEN category LIKE 'P%' THEN count END), 0) AS BIGINT) AS punctuation, CAST(coalesce(sum(CASE WHEN category LIKE 'Z%' THEN count END), 0) AS BIGINT) AS whitespace FROM ({_CATEGORIES})",
+    "safety_scan": "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{0000}-\\x{001F}\\x{007F}-\\x{009F}]', '', 'g')) AS BIGINT) AS control_chars, CAST(length(text) - length(regexp_replace(text, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')) AS BIGINT) AS invisible_chars, CAST(0 AS BIGINT) AS unpaired_surrogates FROM documents",
+    "integrity_counts": "SELECT doc_id, "
+    + ", ".join(f"CAST(length(text) - length(regexp_replace(text, '[{chars}]', '', 'g')) AS BIGINT) AS {kind}" for kind, chars in text.INTEGRITY_KINDS.items())
+    + f", regexp_matches(text, '[{text.BIDI_CONTROLS}]') AS has_bidi_controls FROM documents",
+    "normalization_flags": "SELECT doc_id, nfc_normalize(text) = text AS is_nfc, NOT regexp_matches(text, '[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]') AS is_nfd, nfc_normalize(text) = text AS is_nfkc, NOT regexp_matches(text, '[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]') AS is_nfkd FROM documents",
+    "casefold_tokens": f"SELECT {_FOLD.format(x='token')} AS token, count(*) AS count FROM ({_TOK}) GROUP BY 1 ORDER BY count DESC, token LIMIT 50",
+    "variant_index": f"WITH f AS (SELECT token AS form, count(*) AS n, {_FOLD.format(x='token')} AS key FROM ({_TOK}) GROUP BY token), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, form) AS rk FROM f) SELECT key, CAST(sum(n) AS BIGINT) AS total, count(*) AS forms, string_agg(form || ':' || CAST(n AS VARCHAR), ' ' ORDER BY rk) FILTER (WHERE rk <= 5) AS top_forms FROM r GROUP BY key",
+    "compare_profiles_en_fr": f"WITH a AS ({_SIDE.format(p=_PROFILE.format(where=_EN))}), b AS ({_SIDE.format(p=_PROFILE.format(where=_FR))}), j AS (SELECT coalesce(a.n, b.n) AS n, CAST(coalesce(a.count, 0) AS HUGEINT) AS x, CAST(coalesce(b.count, 0) AS HUGEINT) AS y FROM a FULL OUTER JOIN b ON a.n = b.n AND a.gram = b.gram) SELECT n, CAST(sum(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE 0 END) AS BIGINT) AS shared, count(*) AS \"union\", CAST(sum(x * y) AS VARCHAR) AS dot, CAST(sum(x * x) AS VARCHAR) AS norm_left, CAST(sum(y * y) AS VARCHAR) AS norm_right FROM j GROUP BY n",
+    "envelope_roundtrip": f"SELECT doc_id, 'string' AS kind, true AS same, {_ENVELOPE} AS sha256 FROM documents",
+    "analyze_text": f"SELECT d.doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS BIGINT) AS code_units, CAST(length(text) AS BIGINT) AS code_points, CAST(strlen(text) AS BIGINT) AS bytes, CAST(len(al) AS BIGINT) AS tokens, CAST(len(list_filter(al, lambda x: regexp_matches(x, '{_LIKE}'))) AS BIGINT) AS words, CAST(length(replace(text, chr(13) || chr(10), 'x')) AS BIGINT) AS graphemes, CAST(length(text) - length(regexp_replace(text, '[\\x{{0000}}-\\x{{001F}}\\x{{007F}}-\\x{{009F}}]', '', 'g')) AS BIGINT) AS control_chars, regexp_matches(text, '[{text.BIDI_CONTROLS}]') AS has_bidi_controls, {_ENVELOPE} AS sha256 FROM documents d JOIN ({_ALL}) t ON d.doc_id = t.doc_id",
+    "token_spans": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_idx, CAST(e - length(raw) AS INTEGER) AS start_cu, CAST(e AS INTEGER) AS end_cu, raw FROM (SELECT doc_id, i, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(1, len(al) + 1)) AS i, unnest(al) AS raw FROM ({_ALL})))",
+    "streaming_word_counts": f"SELECT token, count(*) AS count FROM ({_TOK}) GROUP BY token",
+}
+ORACLES["analyze_corpus"] = (
+    "SELECT count(*) AS documents, "
+    + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("code_units", "code_points", "bytes", "tokens", "words", "graphemes", "control_chars"))
+    + f", CAST(coalesce(sum(CAST(has_bidi_controls AS BIGINT)), 0) AS BIGINT) AS with_bidi_controls FROM ({ORACLES['analyze_text']})"
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
