@@ -96,6 +96,7 @@ def phases(blocks: list[int], weights: list[Fraction], period: int) -> list[dict
 
 def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their source's block, and (source, total); no task holds a whole source."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith(("mix_", "__mix_"))])
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     keyed = docs.withColumns({"__mix_size": size, "__mix_hash": F.xxhash64("doc_id", "text"), "__mix_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
     keyed = keyed.withColumn("__mix_bucket", F.shiftrightunsigned("__mix_hash", 40) % buckets)
@@ -108,14 +109,15 @@ def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> tuple[DataFrame,
         .withColumn("__mix_start", F.col("__mix_offset") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
         .withColumn("mix_block", F.expr(f"__mix_start div {block_bytes}"))
     )
-    return placed, sums.groupBy("__mix_key").agg(F.sum("__mix_sum").alias("total"))
+    return placed, sums.groupBy("__mix_key").agg(F.sum("__mix_sum").alias("__mix_total"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, buckets: int = BUCKETS) -> DataFrame:
     """Give every document its place in the mixture: slot ``mix_slot``, then ``mix_hash`` inside it.
 
     Adds mix_block (from 0 in its source), mix_phase, mix_release, mix_deadline, mix_slot and
-    mix_hash; all rows and all other columns of ``docs`` are kept.  ``weights`` maps sources to
+    mix_hash; all rows and all other columns of ``docs`` are kept, but for columns with names
+    that start with mix_ or __mix_.  ``weights`` maps sources to
     positive weights (default: every source the same; sources not named: the smallest weight
     named).  A null source is a source of its own; null and empty texts count one byte; a
     document longer than a block leaves the block numbers it spans empty, as it uses their
@@ -123,7 +125,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     """
     spark = docs.sparkSession
     placed, totals = _blocks(docs, block_bytes, buckets)
-    counted = sorted((r["__mix_key"], -(-r["total"] // block_bytes)) for r in totals.limit(MAX_SOURCES + 1).collect())
+    counted = sorted((r["__mix_key"], -(-r["__mix_total"] // block_bytes)) for r in totals.limit(MAX_SOURCES + 1).collect())
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: name groups of them instead")
     named = {"n" if k is None else f"s{k}": Fraction(v).limit_denominator(10**6) for k, v in (weights or {}).items()}
@@ -137,23 +139,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
             rows.append((names[k], p, run["first"][i], run["first"][i] + _taken(run, i), run["shares"][i], run["length"], run["start"]))
         for t, (i, j) in enumerate(run["plan"]):
             slots.append((names[run["live"][i]], p, j, t))
-    spans = spark.createDataFrame(rows, "__mix_key string, mix_phase int, m_first long, m_end long, m_share long, m_length long, m_start long")
-    table = spark.createDataFrame(slots, "__mix_key string, mix_phase int, m_j long, t_slot long")
-    rel = F.col("mix_block") - F.col("m_first")
+    spans = spark.createDataFrame(rows, "__mix_key string, mix_phase int, __mix_first_ long, __mix_end_ long, __mix_share_ long, __mix_length_ long, __mix_start_ long")
+    table = spark.createDataFrame(slots, "__mix_key string, mix_phase int, __mix_j_ long, __mix_slot_ long")
+    rel = F.col("mix_block") - F.col("__mix_first_")
     j = rel + 1
     out = (
-        placed.join(F.broadcast(spans), (placed["__mix_key"] == spans["__mix_key"]) & F.col("mix_block").between(F.col("m_first"), F.col("m_end") - 1))
+        placed.join(F.broadcast(spans), (placed["__mix_key"] == spans["__mix_key"]) & F.col("mix_block").between(F.col("__mix_first_"), F.col("__mix_end_") - 1))
         .drop(spans["__mix_key"])
-        .withColumn("m_j", F.pmod(rel, F.col("m_share")))
-        .join(F.broadcast(table), ["__mix_key", "mix_phase", "m_j"])
+        .withColumn("__mix_j_", F.pmod(rel, F.col("__mix_share_")))
+        .join(F.broadcast(table), ["__mix_key", "mix_phase", "__mix_j_"])
     )
     return out.select(
-        *[c for c in docs.columns if not c.startswith("mix_")],
+        *[c for c in docs.columns if not c.startswith(("mix_", "__mix_"))],
         "mix_block",
         "mix_phase",
-        (F.col("m_start") + F.expr("(mix_block - m_first) * m_length div m_share")).alias("mix_release"),
-        (F.col("m_start") + F.ceil(j * F.col("m_length") / F.col("m_share"))).alias("mix_deadline"),
-        (F.col("m_start") + F.expr("(mix_block - m_first) div m_share") * F.col("m_length") + F.col("t_slot")).alias("mix_slot"),
+        (F.col("__mix_start_") + F.expr("(mix_block - __mix_first_) * __mix_length_ div __mix_share_")).alias("mix_release"),
+        (F.col("__mix_start_") + F.ceil(j * F.col("__mix_length_") / F.col("__mix_share_"))).alias("mix_deadline"),
+        (F.col("__mix_start_") + F.expr("(mix_block - __mix_first_) div __mix_share_") * F.col("__mix_length_") + F.col("__mix_slot_")).alias("mix_slot"),
         F.col("__mix_hash").alias("mix_hash"),
     )
 

@@ -48,8 +48,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_documents(spark, sf_dir))
+def secret_digest(found: DataFrame) -> DataFrame:
+    """Counts, checksum and list of the spans that ``find_secrets`` returns."""
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("found", lambda s: s["place"] < len(secrets.BASE))
     return found.select(
@@ -62,6 +62,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secrets.find_secrets(_documents(spark, sf_dir)))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

@@ -88,6 +88,8 @@ def marked_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 def _trained(samples: list[bytes], size: int) -> bytes:
     """Content of a dictionary trained on the samples; too few of them are the content themselves."""
+    if not samples:
+        return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
