@@ -10,9 +10,10 @@ from .tokens import segments
 
 
 def edit_script(a: list, b: list, prefer: str = "delete", max_d: int | None = None) -> tuple[list[tuple[str, int, int, int, int]], bool]:
-    """Runs (op, a0, a1, b0, b1) from ``a`` to ``b`` with the fewest single edits, and whether it was cut short.
+    """Runs (op, a0, a1, b0, b1) from ``a`` to ``b``, and whether it was cut short.
 
-    Between equally good steps the one named by ``prefer`` is taken first.  Beyond ``max_d`` edits all of
+    With ``prefer`` "delete" the single edits are the fewest.  "insert" takes an insertion wherever
+    both neighbouring diagonals reach equally far, and may need more.  Beyond ``max_d`` edits all of
     ``a`` is deleted and all of ``b`` inserted.
     """
     n, m = len(a), len(b)

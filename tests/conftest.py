@@ -1,8 +1,11 @@
 import os
+import sys
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
