@@ -107,6 +107,82 @@ def words_any(text: Column) -> Column:
     return _udf("array<string>", run)(text)
 
 
+#: One letter for each sentence-break class.
+_SENTENCE_CLASSES = {
+    "ATerm": "A", "STerm": "T", "Close": "C", "Sp": "S", "Sep": "P", "CR": "R", "LF": "N", "Upper": "U", "Lower": "L", "OLetter": "O", "Numeric": "D", "SContinue": "X", "Extend": "E", "Format": "F",
+}
+
+
+class _Classes(dict):
+    """Code point to class letter, looked up once per code point."""
+
+    def __init__(self) -> None:
+        import regex
+
+        self.tests = [(letter, regex.compile(rf"\p{{Sentence_Break={name}}}")) for name, letter in _SENTENCE_CLASSES.items()]
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = found = next((letter for letter, test in self.tests if test.match(chr(cp))), ".")
+        return found
+
+
+_classes: _Classes | None = None
+
+
+def split_sentences(text: str) -> list[str]:
+    """Default sentence segments (UAX #29); they tile the text."""
+    import re
+
+    global _classes
+    if _classes is None:
+        _classes = _Classes()
+    kinds = text.translate(_classes)
+    cuts = [0]
+    for m in re.finditer(r"RN|[PRN]|([TA])[EF]*((?:C[EF]*)*(?:S[EF]*)*)(RN|[PRN])?", kinds):
+        end, term = m.end(), m[1]
+        if term and not m[3]:
+            after = kinds[end : end + 1]
+            near = not m[2]
+            before = kinds[: m.start()].rstrip("EF")[-1:] if term == "A" and near and after == "U" else ""
+            if after in ("X", "T", "A"):
+                continue
+            if term == "A" and (near and after == "D" or before in ("U", "L") or re.compile("[^OULPRNTA]*L").match(kinds, end)):
+                continue
+        cuts.append(end)
+    if cuts[-1] != len(text):
+        cuts.append(len(text))
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def sentences(text: Column) -> Column:
+    return _udf("array<string>", lambda s: s.map(lambda x: None if x is None else split_sentences(x)))(text)
+
+
+def char_property(char: Column, name: str) -> Column:
+    """bidi_class, east_asian_width, combining_class, mirrored, decomposition or name of a character."""
+    looked_up = {
+        "bidi_class": unicodedata.bidirectional,
+        "east_asian_width": unicodedata.east_asian_width,
+        "combining_class": lambda c: str(unicodedata.combining(c)),
+        "mirrored": lambda c: str(bool(unicodedata.mirrored(c))).lower(),
+        "decomposition": unicodedata.decomposition,
+        "name": lambda c: unicodedata.name(c, ""),
+    }[name]
+    return _udf("string", lambda s: s.map(lambda x: None if not x else looked_up(x[0])))(char)
+
+
+def script(char: Column, scripts: tuple[str, ...] = ("Latin", "Greek", "Cyrillic", "Han", "Arabic", "Hebrew", "Common", "Inherited")) -> Column:
+    """The script of a character among ``scripts``, else Other."""
+
+    def run(s: pd.Series) -> pd.Series:
+        import regex
+
+        tests = [(n, regex.compile(rf"\p{{Script={n}}}")) for n in scripts]
+        return s.map(lambda x: None if not x else next((n for n, t in tests if t.match(x)), "Other"))
+
+    return _udf("string", run)(char)
+
+
 def ends_cu(segments: Column) -> Column:
     """Running end of each segment in UTF-16 code units."""
 

@@ -114,3 +114,13 @@ def decode_envelope(envelope: Column) -> Column:
         .when(envelope["kind"] == "utf8-base64", F.try_validate_utf8(F.decode(raw, "UTF-8")))
         .when(envelope["kind"] == "utf16le-base64", F.decode(raw, "UTF-16LE"))
     )
+
+
+def host_of(url: Column) -> Column:
+    """Host of an absolute URL, without user and port."""
+    return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+
+
+def ascii_host(host: Column) -> Column:
+    """Lower-cased host of ASCII letters, digits, hyphens and dots; null for any other (no mapping is done)."""
+    return F.when(F.rlike(host, F.lit("^[A-Za-z0-9.-]+$")) & ~F.rlike(F.lower(host), F.lit("(^|\\.)xn--")), F.lower(host))

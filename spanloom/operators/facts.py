@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanloom.functions import text
+from spanloom.functions import kernels, text
 
 from .tokens import segments, tokens, word_arrays
 
@@ -93,3 +93,13 @@ def duplicate_lines(docs: DataFrame, k: int | None = 50) -> DataFrame:
 
 def grapheme_counts(docs: DataFrame, repertoire: str = "latin") -> DataFrame:
     return docs.select("doc_id", F.size(segments(F.col("text"), "grapheme", repertoire)).cast("long").alias("graphemes"))
+
+
+def sentence_counts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.size(kernels.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+def duplicate_sentences(docs: DataFrame, k: int | None = 50) -> DataFrame:
+    """(sentence, count) of sentences that the corpus holds more than once."""
+    rows = docs.select(F.explode(kernels.sentences(F.col("text"))).alias("sentence"))
+    return top(rows.groupBy("sentence").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), k, ["sentence"])

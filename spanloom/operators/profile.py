@@ -21,6 +21,13 @@ def general_categories(docs: DataFrame) -> DataFrame:
     return chars.groupBy(kernels.general_category(F.col("c")).alias("category")).agg(F.sum("n").alias("count"))
 
 
+def char_classes(docs: DataFrame, name: str) -> DataFrame:
+    """(value, count) of script or another character property over all code points."""
+    chars = docs.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    value = kernels.script(F.col("c")) if name == "script" else kernels.char_property(F.col("c"), name)
+    return chars.groupBy(value.alias("value")).agg(F.sum("n").alias("count"))
+
+
 def punctuation_whitespace(docs: DataFrame) -> DataFrame:
     """(punctuation, whitespace) totals by general category P* and Z*; line ends and tabs are neither."""
     named = general_categories(docs)

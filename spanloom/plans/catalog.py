@@ -78,6 +78,11 @@ def _punycode_words(docs: DataFrame) -> DataFrame:
     return rows.withColumn("back", kernels.punycode_decode(F.col("punycode")) == F.col("token"))
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _table("pages")(spark, sf_dir).select(text.ascii_host(text.host_of(F.col("url"))).alias("host"))
+    return hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def _events_jcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table("events")(spark, sf_dir)
     return events.select("event_id", kernels.jcs_of_json(F.col("props")).alias("jcs")).withColumn("sha256", F.sha2("jcs", 256))
@@ -118,6 +123,11 @@ QUERIES: dict[str, Query] = {
     "canonical_json": _events_jcs,
     "analyze_text": _over_documents(packs.analyze_text),
     "analyze_corpus": _over_documents(packs.analyze_corpus),
+    "sentence_counts": _over_documents(facts.sentence_counts),
+    "duplicate_sentences": _over_documents(facts.duplicate_sentences),
+    "scripts": _over_documents(lambda d: profile.char_classes(d, "script")),
+    "bidi_classes": _over_documents(lambda d: profile.char_classes(d, "bidi_class")),
+    "hosts": _hosts,
     "streaming_word_counts": _streaming_word_counts,
 }
 
@@ -183,6 +193,8 @@ ORACLES: dict[str, str] = {
     "envelope_roundtrip": f"SELECT doc_id, 'string' AS kind, true AS same, {_ENVELOPE} AS sha256 FROM documents",
     "analyze_text": f"SELECT d.doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS BIGINT) AS code_units, CAST(length(text) AS BIGINT) AS code_points, CAST(strlen(text) AS BIGINT) AS bytes, CAST(len(al) AS BIGINT) AS tokens, CAST(len(list_filter(al, lambda x: regexp_matches(x, '{_LIKE}'))) AS BIGINT) AS words, CAST(length(replace(text, chr(13) || chr(10), 'x')) AS BIGINT) AS graphemes, CAST(length(text) - length(regexp_replace(text, '[\\x{{0000}}-\\x{{001F}}\\x{{007F}}-\\x{{009F}}]', '', 'g')) AS BIGINT) AS control_chars, regexp_matches(text, '[{text.BIDI_CONTROLS}]') AS has_bidi_controls, {_ENVELOPE} AS sha256 FROM documents d JOIN ({_ALL}) t ON d.doc_id = t.doc_id",
     "token_spans": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_idx, CAST(e - length(raw) AS INTEGER) AS start_cu, CAST(e AS INTEGER) AS end_cu, raw FROM (SELECT doc_id, i, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(1, len(al) + 1)) AS i, unnest(al) AS raw FROM ({_ALL})))",
+    "scripts": "SELECT CASE WHEN regexp_matches(c, '[A-Za-zÀ-ÖØ-öø-ÿªº]') THEN 'Latin' ELSE 'Common' END AS value, count(*) AS count FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY 1",
+    "hosts": "SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
     "streaming_word_counts": f"SELECT token, count(*) AS count FROM ({_TOK}) GROUP BY token",
 }
 ORACLES["analyze_corpus"] = (

@@ -144,3 +144,14 @@ def test_sources(spark, tmp_path):
     assert one(spark, documents.decode_utf8(F.lit(b"\xff"), strict=False)) is None
     docs = spark.createDataFrame([(1, "x"), (2, " "), (3, "x"), (4, None)], "n long, doc_id string")
     assert [r.doc_id for r in documents.with_ids(docs, "n").orderBy("n").collect()] == ["x", "doc-1", "x#2", "doc-2"]
+
+
+@pytest.mark.parametrize(
+    ("whole", "parts"),
+    [
+        ("One. Two? Three", ["One. ", "Two? ", "Three"]), ("It is 3.4 now. no break. Break", ["It is 3.4 now. no break. ", "Break"]), ("U.S.A. is\nnext", ["U.S.A. is\n", "next"]),
+        ("He said (yes.) Then", ["He said (yes.) ", "Then"]), ("", []), ("a\r\nb", ["a\r\n", "b"]), ("Wait... what?! Yes", ["Wait... what?! ", "Yes"]),
+    ],
+)
+def test_sentences(whole, parts):
+    assert kernels.split_sentences(whole) == parts
