@@ -155,3 +155,12 @@ def test_sources(spark, tmp_path):
 )
 def test_sentences(whole, parts):
     assert kernels.split_sentences(whole) == parts
+
+
+def test_provenance(spark):
+    from spanloom.functions import provenance as p
+
+    assert p.fnv1a32("") == "fnv1a32:811c9dc5"
+    assert p.config_hash({"b": float("inf"), "a": 1}) == p.fnv1a32('{"a":1,"b":null}')
+    block = p.provenance("words", "UAX #29", "17.0.0", {"filter": "all"})
+    assert one(spark, p.literal(block)).algorithm.spec == "UAX #29"
