@@ -10,9 +10,10 @@ empty the same process is followed to later ranks.
 
 Join.  Texts with one shingle set form a class, stood for by its least document.  Classes that
 share a band (``rows`` coordinates) are candidates.  In a bucket all members are first
-compared to the least one; what is not linked then is compared in blocks of at most ``BLOCK``
-members; larger rests split by further bands (a pair at the threshold stays together in some
-part with probability 0.9999) and, where nothing splits them, take one pivot after another.
+compared to the least one.  Classes of buckets that then still hold several components are
+joined exactly: two similar sets share one of their rarest shingles (prefix filter), while
+sets that differ much have theirs alone.  Classes that share such shingles form a family, and
+the members outside its largest component are compared to all of other components.
 Candidates are verified on their shingle sets (32-bit fingerprints of the distinct shingles),
 and components of verified links are the classes returned.
 """
@@ -35,8 +36,8 @@ from .staging import discard, stage
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-BLOCK = 32
-SPLITS = 3
+SALTS = 16
+SKETCH = 1024
 
 _SIGNATURES = "doc bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"
 
@@ -136,54 +137,57 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, prints): 32-bit fingerprints of the distinct shingles of (doc, text) rows."""
+    """(doc, prints, odd) of (doc, text) rows: 32-bit fingerprints of the distinct shingles, and an odd sketch.
+
+    The sketch has the parity of the prints under each of ``SKETCH`` bits.  Where two sketches
+    differ some print is in one set only, so sets differ in as many prints at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch, "text"):
                 hashes, _, ends = shingle_sets(Words(part.column(1), NOT_SPACE), shingle)
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["doc", "prints"])
+                prints = (hashes >> np.uint64(32)).astype(np.uint32)
+                n = part.num_rows
+                place = np.repeat(np.arange(n), np.diff(ends)) * SKETCH + prints % SKETCH
+                odd = np.packbits((np.bincount(place, minlength=n * SKETCH) & 1).astype(bool)).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((ends, prints.view(np.int32)), (np.arange(n + 1) * (SKETCH // 64), odd))]
+                yield pa.record_batch([part.column(0), *lists], names=["doc", "prints", "odd"])
 
-    return docs.mapInArrow(run, "doc bigint, prints array<int>")
+    return docs.mapInArrow(run, "doc bigint, prints array<int>, odd array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least this Jaccard similarity."""
     left = sets.select(F.col("doc").alias("a"), F.col("prints").alias("pa"))
     right = sets.select(F.col("doc").alias("b"), F.col("prints").alias("pb"))
-    both = F.size(F.array_intersect("pa", "pb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("pa") + F.size("pb") - both)).select("a", "b")
+    alike = F.size(F.array_intersect("pa", "pb")) * (1 + similarity) >= similarity * (F.size("pa") + F.size("pb")) - 1e-9
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
-def links(members: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b), enough to connect all similar classes, from (key, x, n) bucket members."""
-    spark = members.sparkSession
-    found: DataFrame | None = None
-    for level in range(SPLITS + 1):
-        near = (F.least("n", "pn") >= similarity * F.greatest("n", "pn")) & (F.col("x") != F.col("p"))
-        pivot = members.groupBy("key").agg(F.min_by("n", "x").alias("pn"), F.min("x").alias("p"))
-        star = members.join(pivot, "key").where(near).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        found = _plus(found, _verified(star, sets, similarity))
-        members = _unlinked(members, found)
-        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        sized = stage(members.join(size, "key"), "buckets")
-        small = sized.where(F.col("size") <= BLOCK)
-        other = small.select("key", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-        block = small.join(other, "key").where(near & (F.col("x") < F.col("p")) & (F.col("label") != F.col("pl"))).select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
-        found = _plus(found, _verified(block, sets, similarity))
-        large = sized.where(F.col("size") > BLOCK)
-        if large.limit(1).count() == 0:
-            break
-        if level == SPLITS:
-            found = _by_pivots(large, sets, found, similarity)
-            break
-        parts = large.join(reps.select(F.col("doc").alias("x"), F.explode("keys").alias("other")), "x").where("key <> other")
-        members = stage(_shared(parts.select(F.xxhash64("key", "other").alias("key"), "x", "n")), "buckets")
-    return found
-
-
-def _plus(found: DataFrame | None, more: DataFrame) -> DataFrame:
-    return stage(more, "links") if found is None else found.unionAll(stage(more, "links"))
+    pivot = members.groupBy("key").agg(F.min_by("n", "x").alias("pn"), F.min("x").alias("p"))
+    found = stage(_verified(_pairs(members.join(pivot, "key"), similarity), sets, similarity), "links")
+    rest = _open(members, found).select(F.col("x").alias("doc")).distinct()
+    shared = stage(_rare_members(stage(sets.join(rest, "doc", "left_semi"), "rest"), similarity), "rare")
+    return found.unionAll(stage(_across(_families(_open(shared, found)), sets, similarity), "links"))
+
+
+def _rare_members(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, x, n): each set under its rarest elements, so many that two similar sets must share one.
+
+    A set of n elements that reaches the similarity with another misses at most
+    n - ceil(similarity * n) of its own there; of any order of elements common to all sets, its
+    first n - ceil(similarity * n) + 1 hold a shared one.  The order is by frequency among these
+    sets.  Elements of one set only take their places but are no keys.
+    """
+    rows = sets.select("doc", F.size("prints").alias("n"), F.explode("prints").alias("p"))
+    common = rows.groupBy("p").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = rows.join(common, "p").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "p"))).alias("held"))
+    places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("held"))
+    keys = held.where(places > 0).select("doc", "n", F.explode(F.slice("held", F.lit(1), places.cast("int"))).alias("h"))
+    return _shared(keys.select(F.col("h.p").cast("long").alias("key"), F.col("doc").alias("x"), F.col("n").cast("long").alias("n")))
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -191,24 +195,54 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "key")
 
 
-def _unlinked(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members, with their component so far, of the buckets that still hold two components."""
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of x and p whose set sizes allow the similarity."""
+    near = F.least("n", "pn") >= similarity * F.greatest("n", "pn")
+    return rows.where(near & (F.col("x") != F.col("p"))).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold two components or more, with their component."""
     label = components(found)
     known = members.join(label.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "n", F.coalesce("label", "x").alias("label"))
-    open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return known.join(open_, "key")
+    several = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return known.join(several, "key")
+
 
+def _families(members: DataFrame) -> DataFrame:
+    """(family, x, label, minor): members joined through common buckets, and whether they are outside the family's largest component."""
+    members = stage(members, "buckets")
+    heads = members.groupBy("key").agg(F.min("x").alias("p"))
+    family = components(members.join(heads, "key").select("x", "p"), "x", "p").withColumnsRenamed({"node": "x", "label": "family"})
+    rows = members.select("x", "label").distinct().join(family, "x")
+    major = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("major"))
+    return stage(rows.join(major, "family").select("family", "x", "label", (F.col("label") != F.col("major")).alias("minor")), "families")
 
-def _by_pivots(members: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The rest of the largest buckets, exactly: each member in turn is compared to the later ones not yet linked to it."""
-    members = stage(members.select("key", "x", "n"), "buckets")
-    while members.limit(1).count():
-        pivot = members.groupBy("key").agg(F.min_by("n", "x").alias("pn"), F.min("x").alias("p"))
-        later = stage(members.join(pivot, "key").where("x <> p"), "buckets")
-        near = F.least("n", "pn") >= similarity * F.greatest("n", "pn")
-        found = _plus(found, _verified(later.where(near).select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), sets, similarity))
-        members = stage(_unlinked(later.select("key", "x", "n"), found).select("key", "x", "n"), "buckets")
-    return found
+
+def _across(families: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components of a family: each minor member against the members of other components.
+
+    Sets are compared inside the join, which makes no row but a link; ``SALTS`` parts share the
+    work of one family.
+    """
+    n = max(2 * SALTS, int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = families.join(sets.withColumnRenamed("doc", "x"), "x")
+    salt = F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")
+    one = rows.select("family", salt.alias("salt"), F.col("x").alias("a"), F.col("label").alias("la"), F.col("prints").alias("pa"), F.col("odd").alias("oa"))
+    two = rows.where("minor").select("family", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("x").alias("b"), F.col("label").alias("lb"), F.col("prints").alias("pb"), F.col("odd").alias("ob"))
+    one, two = one.repartition(n, "family", "salt").alias("l"), two.repartition(n, "family", "salt").alias("r")
+    na, nb = F.size("pa"), F.size("pb")
+    # cheapest first; the sketches bound the difference of the sets, which similarity bounds too
+    apart = F.bit_count(F.get("oa", F.lit(0)).bitwiseXOR(F.get("ob", F.lit(0))))
+    for i in range(1, SKETCH // 64):
+        apart = apart + F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i))))
+    near = (
+        (F.col("la") != F.col("lb"))
+        & (F.least(na, nb) >= similarity * F.greatest(na, nb))
+        & (apart * (1 + similarity) <= (1 - similarity) * (na + nb) + 1e-9)
+        & (F.size(F.array_intersect("pa", "pb")) * (1 + similarity) >= similarity * (na + nb) - 1e-9)
+    )
+    return one.join(two, (F.col("l.family") == F.col("r.family")) & (F.col("l.salt") == F.col("r.salt")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     members = stage(_shared(reps.select(F.explode("keys").alias("key"), F.col("doc").alias("x"), "n")), "buckets")
     wanted = members.select(F.col("x").alias("doc")).distinct()
     sets = stage(fingerprints(lean.join(wanted.hint("shuffle_hash"), "doc", "left_semi"), shingle), "prints")
-    label = components(links(members, reps, sets, similarity, bands))
+    label = components(links(members, sets, similarity))
     classed = reps.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("n", "s1", "s2", F.coalesce("label", "doc").alias("class_id"))
     discard(spark, members, sets)
     # all texts under one id belong together
