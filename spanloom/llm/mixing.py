@@ -6,8 +6,10 @@ slot ceil(j/w); slots are dealt one block each, earliest deadline first among th
 With weights that add to 1 every block meets its deadline, so after any number of slots each
 source is less than one block away from its target.
 
-Weights are multiples of 1/period, so the schedule repeats: one period is simulated on the
-driver (a few thousand slots) and block j finds its slot by arithmetic.  When a source runs
+Weights are taken exactly as given.  The schedule repeats after their common denominator: where
+a phase is longer than that, one cycle is simulated and block j finds its slot by arithmetic,
+else the phase itself is.  The driver simulates, keeping only the counts at every ``period``
+slots; executors replay the pieces between.  When a source runs
 out its share is dealt to the others in proportion, and the schedule goes on from there
 (``phase``); nothing is dropped or repeated.
 """
@@ -15,8 +17,12 @@ out its share is dealt to the others in proportion, and the schedule goes on fro
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -25,21 +31,22 @@ PERIOD = 1000
 BLOCK_BYTES = 65536
 BUCKETS = 4096
 MAX_SOURCES = 2000
+BROADCAST_SLOTS = 200_000
 
 
-def whole_shares(weights: list[Fraction], period: int) -> list[int]:
-    """Weights as whole numbers that add to ``period``, each at least 1 (largest remainder)."""
-    total = sum(weights)
-    exact = [w * period / total for w in weights]
-    got = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(got)), key=lambda i: (got[i] - exact[i], i))
-    step = 1 if sum(got) < period else -1
-    i = 0
-    while sum(got) != period:
-        k = order[i % len(got)] if step > 0 else order[-1 - i % len(got)]
-        if got[k] + step >= 1:
-            got[k] += step
-        i += 1
+def exact_shares(weights: list[Fraction]) -> list[int]:
+    """The least whole numbers in exactly the proportion of ``weights``; their sum is the period."""
+    scale = lcm(*[w.denominator for w in weights])
+    whole = [int(w * scale) for w in weights]
+    common = gcd(*whole)
+    return [w // common for w in whole]
+
+
+def exact_weight(value: float) -> Fraction:
+    """A weight as it is written: the decimal 0.1 is 1/10."""
+    got = Fraction(str(value)) if isinstance(value, float) else Fraction(value)
+    if got <= 0:
+        raise ValueError(f"weight {value} is not positive")
     return got
 
 
@@ -48,49 +55,65 @@ def windows(share: int, period: int, j: int) -> tuple[int, int]:
     return (j - 1) * period // share, -(-j * period // share)
 
 
-def schedule(shares: list[int]) -> list[tuple[int, int]]:
-    """One period of earliest-deadline-first: (source, block from 0) of each slot."""
+def deal(shares: list[int], done: list[int], start: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """Earliest deadline first from slot ``start``, where ``done`` blocks of each source are dealt.
+
+    Gives (source, block from 0, release, deadline) of each slot, without end.
+    """
     period = sum(shares)
-    waiting = [(windows(s, period, 1)[0], k, 1) for k, s in enumerate(shares)]
+    waiting = [(windows(s, period, d + 1)[0], k, d + 1) for k, (s, d) in enumerate(zip(shares, done, strict=True))]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
+    ready: list[tuple[int, int, int, int]] = []
+    t = start
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (windows(shares[k], period, j)[1], k, j))
-        due, k, j = heapq.heappop(ready)
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (windows(shares[k], period, j)[1], k, j, release))
+        due, k, j, release = heapq.heappop(ready)
         assert t < due
-        out.append((k, j - 1))
-        if j < shares[k]:
-            heapq.heappush(waiting, (windows(shares[k], period, j + 1)[0], k, j + 1))
-    return out
+        yield k, j - 1, release, due
+        heapq.heappush(waiting, (windows(shares[k], period, j + 1)[0], k, j + 1))
+        t += 1
+
+
+def schedule(shares: list[int]) -> list[tuple[int, int]]:
+    """One period of earliest-deadline-first: (source, block from 0) of each slot."""
+    return [(k, j) for k, j, _, _ in islice(deal(shares, [0] * len(shares)), sum(shares))]
 
 
 def phases(blocks: list[int], weights: list[Fraction], period: int) -> list[dict]:
     """Cut the run into phases at whose ends a source runs out.
 
-    Each phase has the live sources, their shares, the first block of each and the first slot.
+    Each phase has the live sources, their shares, the first block of each, the first slot, how
+    many blocks of each it takes and the pieces to replay: (slot, end, blocks dealt before).  They
+    cover ``length`` slots, one cycle, or the whole phase where ``length`` is 0.
     """
     done, out, start = [0] * len(blocks), [], 0
     while live := [k for k in range(len(blocks)) if done[k] < blocks[k]]:
-        length = max(period, 2 * len(live))
-        shares = whole_shares([weights[k] for k in live], length)
-        plan = schedule(shares)
+        shares = exact_shares([weights[k] for k in live])
+        length = sum(shares)
         whole = min((blocks[k] - done[k]) // s for k, s in zip(live, shares, strict=True))
         left = [blocks[k] - done[k] - whole * s for k, s in zip(live, shares, strict=True)]
-        cut = length
-        for t, (k, j) in enumerate(plan):
-            if j >= left[k]:
-                cut = t
+        step = max(period, 16 * len(live))
+        dealt, took, cut, pieces = [0] * len(live), None, 0, []
+        for t, (k, j, _, _) in enumerate(deal(shares, dealt)):
+            if took is None and j >= left[k]:
+                cut, took = t, list(dealt)
+            if took is not None and (whole == 0 or t == length):
                 break
-        took = [0] * len(live)
-        for k, _ in plan[:cut]:
-            took[k] += 1
-        out.append({"live": live, "shares": shares, "first": [done[k] for k in live], "start": start, "slots": whole * length + cut, "plan": plan, "length": length})
+            if t % step == 0:
+                pieces.append((t, list(dealt)))
+            dealt[k] += 1
+        ends = [at for at, _ in pieces[1:]] + [t]
+        took = [whole * s + n for s, n in zip(shares, took, strict=True)]
+        slots = whole * length + cut
+        out.append(
+            {"live": live, "shares": shares, "first": [done[k] for k in live], "start": start, "slots": slots, "took": took, "length": length if whole else 0}
+            | {"pieces": [(at, end, n) for (at, n), end in zip(pieces, ends, strict=True)]}
+        )
         for i, k in enumerate(live):
-            done[k] += whole * shares[i] + took[i]
-        start += whole * length + cut
+            done[k] += took[i]
+        start += slots
     return out
 
 
@@ -119,7 +142,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     mix_hash; all rows and all other columns of ``docs`` are kept, but for columns with names
     that start with mix_ or __mix_.  ``weights`` maps sources to
     positive weights (default: every source the same; sources not named: the smallest weight
-    named).  A null source is a source of its own; null and empty texts count one byte; a
+    named); ``period`` is the least number of slots replayed as one piece.  A null source is a source of its own; null and empty texts count one byte; a
     document longer than a block leaves the block numbers it spans empty, as it uses their
     share; repeated rows are rows; an empty table gives an empty result.
     """
@@ -128,38 +151,63 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     counted = sorted((r["__mix_key"], -(-r["__mix_total"] // block_bytes)) for r in totals.limit(MAX_SOURCES + 1).collect())
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: name groups of them instead")
-    named = {"n" if k is None else f"s{k}": Fraction(v).limit_denominator(10**6) for k, v in (weights or {}).items()}
+    named = {"n" if k is None else f"s{k}": exact_weight(v) for k, v in (weights or {}).items()}
     least = min(named.values(), default=Fraction(1))
     names = [s for s, _ in counted]
-    runs = phases([n for _, n in counted], [named.get(s, least) for s in names], period)
+    given = [named.get(s, least) for s in names]
+    runs = phases([n for _, n in counted], given, period)
 
-    rows, slots = [], []
+    rows, pieces = [], []
     for p, run in enumerate(runs):
         for i, k in enumerate(run["live"]):
-            rows.append((names[k], p, run["first"][i], run["first"][i] + _taken(run, i), run["shares"][i], run["length"], run["start"]))
-        for t, (i, j) in enumerate(run["plan"]):
-            slots.append((names[run["live"][i]], p, j, t))
+            share = run["shares"][i] if run["length"] else max(1, run["took"][i])
+            rows.append((names[k], p, run["first"][i], run["first"][i] + run["took"][i], share, run["length"], run["start"]))
+        pieces += [(p, at, end, run["live"], dealt) for at, end, dealt in run["pieces"]]
     spans = spark.createDataFrame(rows, "__mix_key string, mix_phase int, __mix_first_ long, __mix_end_ long, __mix_share_ long, __mix_length_ long, __mix_start_ long")
-    table = spark.createDataFrame(slots, "__mix_key string, mix_phase int, __mix_j_ long, __mix_slot_ long")
+    table = _replay(spark.createDataFrame(pieces, "p int, at long, end long, live array<int>, dealt array<long>"), names, given)
+    if sum(end - at for _, at, end, _, _ in pieces) <= BROADCAST_SLOTS:
+        table = F.broadcast(table)
     rel = F.col("mix_block") - F.col("__mix_first_")
-    j = rel + 1
+    cycle = F.col("__mix_start_") + F.expr("(mix_block - __mix_first_) div __mix_share_") * F.col("__mix_length_")
     out = (
         placed.join(F.broadcast(spans), (placed["__mix_key"] == spans["__mix_key"]) & F.col("mix_block").between(F.col("__mix_first_"), F.col("__mix_end_") - 1))
         .drop(spans["__mix_key"])
         .withColumn("__mix_j_", F.pmod(rel, F.col("__mix_share_")))
-        .join(F.broadcast(table), ["__mix_key", "mix_phase", "__mix_j_"])
+        .join(table, ["__mix_key", "mix_phase", "__mix_j_"])
     )
     return out.select(
         *[c for c in docs.columns if not c.startswith(("mix_", "__mix_"))],
         "mix_block",
         "mix_phase",
-        (F.col("__mix_start_") + F.expr("(mix_block - __mix_first_) * __mix_length_ div __mix_share_")).alias("mix_release"),
-        (F.col("__mix_start_") + F.ceil(j * F.col("__mix_length_") / F.col("__mix_share_"))).alias("mix_deadline"),
-        (F.col("__mix_start_") + F.expr("(mix_block - __mix_first_) div __mix_share_") * F.col("__mix_length_") + F.col("__mix_slot_")).alias("mix_slot"),
+        (cycle + F.col("__mix_release_")).alias("mix_release"),
+        (cycle + F.col("__mix_due_")).alias("mix_deadline"),
+        (cycle + F.col("__mix_slot_")).alias("mix_slot"),
         F.col("__mix_hash").alias("mix_hash"),
     )
 
 
 def _taken(run: dict, i: int) -> int:
-    whole, cut = divmod(run["slots"], run["length"])
-    return whole * run["shares"][i] + sum(1 for k, _ in run["plan"][:cut] if k == i)
+    return run["took"][i]
+
+
+def _replay(pieces: DataFrame, names: list[str], weights: list[Fraction]) -> DataFrame:
+    """Slot, release and deadline of each block of the pieces, counted from the start of the phase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                shares = exact_shares([weights[k] for k in x["live"]])
+                got = list(islice(deal(shares, x["dealt"], x["at"]), x["end"] - x["at"]))
+                yield pa.record_batch(
+                    [
+                        pa.array([names[x["live"][k]] for k, _, _, _ in got], pa.string()),
+                        pa.array([x["p"]] * len(got), pa.int32()),
+                        pa.array([j for _, j, _, _ in got], pa.int64()),
+                        pa.array(range(x["at"], x["end"]), pa.int64()),
+                        pa.array([r for _, _, r, _ in got], pa.int64()),
+                        pa.array([min(d, 2**62) for _, _, _, d in got], pa.int64()),
+                    ],
+                    names=["__mix_key", "mix_phase", "__mix_j_", "__mix_slot_", "__mix_release_", "__mix_due_"],
+                )
+
+    return pieces.mapInArrow(run, "__mix_key string, mix_phase int, __mix_j_ long, __mix_slot_ long, __mix_release_ long, __mix_due_ long")

@@ -69,3 +69,24 @@ def test_mix_keeps_rows_and_order(spark, odd, odd_rows):
     for r in sorted(got, key=lambda r: r.mix_slot):
         order[r.source].append(r.mix_block)
     assert all(v == sorted(v) for v in order.values())
+
+
+def test_mix_keeps_the_given_weights_over_many_cycles(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, "abc"[i % 3]) for i in range(7200)], "doc_id long, text string, source string")
+    for weights in (None, {"a": 1 / 3, "b": 0.6663, "c": 0.0004}, {"a": 2, "b": 4, "c": 1}):
+        exact = {s: mixing.exact_weight((weights or dict.fromkeys("abc", 1))[s]) for s in "abc"}
+        done = dict.fromkeys("abc", 0)
+        got = mixing.mix(docs, weights, block_bytes=10).where("mix_phase = 0").orderBy("mix_slot").collect()
+        assert len(got) > 1500
+        for t, r in enumerate(got, 1):
+            assert r.mix_slot == t - 1 and r.mix_block == done[r.source]
+            done[r.source] += 1
+            assert all(abs(done[s] - t * exact[s] / sum(exact.values())) < 1 for s in "abc")
+
+
+def test_pieces_replay_the_schedule():
+    shares = mixing.exact_shares([Fraction(1, 3), Fraction(1, 7), Fraction(11, 21), Fraction(1, 10**9)])
+    plain = [x for x, _ in zip(mixing.deal(shares, [0] * 4), range(1000))]
+    run = mixing.phases([10**4, 10**4, 500, 9], [Fraction(s) for s in shares], 100)[0]
+    again = [x for at, end, dealt in run["pieces"] for x, _ in zip(mixing.deal(shares, dealt, at), range(end - at))]
+    assert len(run["pieces"]) > 5 and run["length"] == 0 and again == plain[: run["slots"]]
