@@ -7,7 +7,8 @@ whose smoothed ratio reaches the threshold (the standard deviation of the page's
 the content cluster.  The content region is the innermost container that holds nearly all text
 of the cluster (widened to its article or main element), with every line in it apart from
 menus, forms, notices, adverts, comments and the like, which are known by element, role or
-class name.
+class name.  A name never marks an article or main element, nor, as long as no other article or
+main stands clear of such names, an element that holds one or most of the cluster's text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video button select textarea datalist".split())
 APART = frozenset("nav footer aside form menu dialog".split())
+ARTICLES = frozenset("article main".split())
 CONTAINERS = frozenset("html body article main section div td center".split())
 CLOSES_P = BLOCKS - {"html", "body", "title", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "legend"}
 #: Words in class, id and role that name what is not the article.
@@ -46,12 +48,17 @@ SHARE = 0.9
 
 
 class Lines(HTMLParser):
-    """Lines of one page, in order: text, ratio, chain of elements, whether it stands apart."""
+    """Lines of one page, in order: text, ratio, element, whether it stands apart by element or as hidden.
+
+    ``named`` are the elements whose names say that they are not the article, ``hidden`` those apart whatever they hold.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, element number, silent, apart
         self.elements: list[tuple[str, int]] = []  # tag and parent of each element
+        self.named: set[int] = set()
+        self.hidden: set[int] = set()
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, float, int, bool]] = []
@@ -74,7 +81,11 @@ class Lines(HTMLParser):
         _, _, silent, apart = self.stack[-1] if self.stack else ("", -1, False, False)
         number = len(self.elements)
         self.elements.append((tag, self.stack[-1][1] if self.stack else -1))
-        apart = apart or tag in APART or (tag == "header" and not self._inside("article", "main")) or (tag not in ("html", "body") and self._named_apart(attrs))
+        if tag not in ("html", "body") and self._hidden(attrs) or tag in APART or (tag == "header" and not self._inside("article", "main")):
+            apart = True
+            self.hidden.add(number)
+        elif tag not in ("html", "body") and tag not in ARTICLES and self._named_apart(attrs):
+            self.named.add(number)
         self.stack.append((tag, number, silent or tag in SILENT, apart))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -128,12 +139,11 @@ class Lines(HTMLParser):
 
     @staticmethod
     def _named_apart(attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id", "role") and not APART_NAMES.isdisjoint(_NAME.split((value or "").lower())):
-                return True
-            if name == "hidden" or name == "style" and "display:none" in (value or "").lower().replace(" ", ""):
-                return True
-        return False
+        return any(name in ("class", "id", "role") and not APART_NAMES.isdisjoint(_NAME.split((value or "").lower())) for name, value in attrs)
+
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "style" and "display:none" in (value or "").lower().replace(" ", "") for name, value in attrs)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -144,16 +154,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return part(ratios) / part(np.ones(len(ratios)))
 
 
-def content_lines(lines: list[tuple[str, float, int, bool]], elements: list[tuple[str, int]], sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE) -> list[str]:
-    """Texts of the lines in the content region."""
-    body = [x for x in lines if not x[3]]
-    if not body:
-        return []
-    ratios = np.array([x[1] for x in lines])
-    smooth = smoothed(ratios, sigma)
-    high = smooth >= threshold * min(ratios.std(), ratios.mean())
-    cluster = [x for x, ok in zip(lines, high, strict=True) if ok and not x[3]] or body
-
+def _weights(cluster: list[tuple[str, float, int, bool]], elements: list[tuple[str, int]]) -> tuple[dict[int, int], int]:
+    """Characters of the lines by element that holds them, and in all."""
     weight: dict[int, int] = {}
     total = 0
     for text, _, at, _ in cluster:
@@ -161,6 +163,59 @@ def content_lines(lines: list[tuple[str, float, int, bool]], elements: list[tupl
         while at >= 0:
             weight[at] = weight.get(at, 0) + len(text)
             at = elements[at][1]
+    return weight, total
+
+
+def _apart_by_name(named: set[int], hidden: set[int], elements: list[tuple[str, int]], filled: set[int], weight: dict[int, int], total: int) -> tuple[set[int], set[int]]:
+    """The named elements that are apart: beside a clear article, and for holding a minor part only."""
+    inner = [0] * (len(elements) + 1)  # articles with text in each element; the last place is the page
+    clear = [0] * (len(elements) + 1)  # those with no named element between
+    for e in range(len(elements) - 1, -1, -1):
+        if e not in hidden:
+            own = elements[e][0] in ARTICLES and e in filled
+            inner[elements[e][1]] += inner[e] + own
+            clear[elements[e][1]] += 0 if e in named else clear[e] + own
+    beside, minor = set(), set()
+    for e in named:
+        at, other = e, False
+        while at >= 0 and not other:
+            part = 0 if at in named or at in hidden else clear[at] + (elements[at][0] in ARTICLES and at in filled)
+            at = elements[at][1]
+            other = clear[at] > part
+        if other:
+            beside.add(e)
+        elif not inner[e] and 2 * weight.get(e, 0) <= total:
+            minor.add(e)
+    return beside, minor
+
+
+def _under(apart: set[int], elements: list[tuple[str, int]]) -> list[bool]:
+    """Whether each element is or stands in one of ``apart``; the last place is the page."""
+    under = [False] * (len(elements) + 1)
+    for e, (_, parent) in enumerate(elements):
+        under[e] = under[parent] or e in apart
+    return under
+
+
+def content_lines(lines: list[tuple[str, float, int, bool]], elements: list[tuple[str, int]], named: set[int], hidden: set[int], sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE) -> list[str]:
+    """Texts of the lines in the content region."""
+    body = [x for x in lines if not x[3]]
+    if not body:
+        return []
+    ratios = np.array([x[1] for x in lines])
+    smooth = smoothed(ratios, sigma)
+    high = smooth >= threshold * min(ratios.std(), ratios.mean())
+    high_lines = [x for x, ok in zip(lines, high, strict=True) if ok and not x[3]] or body
+    weight, total = _weights(high_lines, elements)
+    filled = set(_weights(body, elements)[0])
+    beside, minor = _apart_by_name(named, hidden, elements, filled, weight, total) if named else (set(), set())
+    under = _under(beside | minor, elements)
+    if all(under[x[2]] for x in high_lines):  # together they hold the whole cluster
+        under = _under(beside | {e for e in minor if e not in weight}, elements)
+    body = [x for x in body if not under[x[2]]] or body
+    cluster = [x for x in high_lines if not under[x[2]]] or body
+
+    weight, total = _weights(cluster, elements)
     inside = [e for e, w in weight.items() if w >= share * total and elements[e][0] in CONTAINERS]
     region = max(inside, default=-1)  # elements are numbered in order, so the innermost is the latest
     above = region
@@ -182,7 +237,7 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html or "")
     page.close()
-    return "\n".join(content_lines(page.lines, page.elements))
+    return "\n".join(content_lines(page.lines, page.elements, page.named, page.hidden))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -121,6 +121,24 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_names_on_wrappers():
+    long = "<h1>Title</h1><p>" + "some text " * 40 + "</p><p>Short.</p><p>" + "more words " * 40 + "</p>"
+    want = "Title\n" + ("some text " * 40).strip() + "\nShort.\n" + ("more words " * 40).strip()
+    menu, talk = "<div class='menu'><a>one</a> <a>two</a></div>", "<div id='comments'><p>" + "I agree " * 300 + "</p></div>"
+    cards = "<div class='related'><article class='card'><p>" + "another page " * 30 + "</p></article></div>"
+    for wrapped in (
+        f"<div class='content-sidebar-wrap'>{menu}<div>{long}</div></div>", f"<body>{menu}<div class='layout has-sidebar'>{long}</div></body>", f"<article class='post no-comments'>{long}</article>",
+        f"<div class='content-sidebar-wrap'><article class='post no-comments'>{long}</article>{talk}</div>", f"<main class='has-sidebar'>{menu}{long}</main>{talk}",
+        f"<div class='page-with-menu'><div class='widget'><article>{long}</article></div></div>", f"<div class='has-sidebar'><article>{long}</article>{cards}</div>",
+    ):
+        assert html_text.main_text(wrapped) == want, wrapped[:60]
+    halves = "<div class='post no-comments'><p>" + "some text " * 40 + "</p></div>"
+    assert html_text.main_text("<h1>Title</h1>" + menu + halves * 2) == "Title\n" + "\n".join([("some text " * 40).strip()] * 2)
+    assert html_text.main_text(f"<article></article><div class='has-sidebar'>{long}</div>") == want
+    assert html_text.main_text("<article><p>A short one.</p></article>" + talk) == "A short one."
+    assert html_text.main_text(halves * 2) == "\n".join([("some text " * 40).strip()] * 2)
+
+
 def test_html_articles_whole(spark, sf_dir):
     import html
     import re
