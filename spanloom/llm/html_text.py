@@ -5,7 +5,9 @@ line knows its text, the tags in it and the element it stands in.  A line's rati
 characters per tag.  Ratios are smoothed with a Gaussian over neighbouring lines, and lines
 whose smoothed ratio reaches the threshold (the standard deviation of the page's ratios) form
 the content cluster.  The content region is the innermost container that holds nearly all text
-of the cluster (widened to its article or main element), with every line in it apart from
+of the cluster (widened to its article or main element); where it has no such element, the
+cluster's other lines are kept too, with the containers that are mostly cluster.  Every line of
+the region is given, apart from
 menus, forms, notices, adverts, comments and the like, which are known by element, role or
 class name.  A name never marks an article or main element, nor, as long as no other article or
 main stands clear of such names, an element that holds one or most of the cluster's text.
@@ -230,7 +232,16 @@ def content_lines(lines: list[tuple[str, float, int, bool]], elements: list[tupl
             at = elements[at][1]
         return at == region
 
-    return [x[0] for x in body if region < 0 or held(x[2])]
+    if region < 0 or elements[region][0] in ARTICLES:
+        return [x[0] for x in body if region < 0 or held(x[2])]
+    around, at = set(), region
+    while at >= 0:
+        around.add(at)
+        at = elements[at][1]
+    filled, _ = _weights(body, elements)
+    mostly = {e for e, w in weight.items() if e not in around and elements[e][0] in CONTAINERS and 2 * w > filled[e]}
+    also, chosen = _under(mostly, elements), {id(x) for x in cluster}
+    return [x[0] for x in body if held(x[2]) or id(x) in chosen or also[x[2]]]
 
 
 def main_text(html: str | None) -> str:

@@ -139,6 +139,17 @@ def test_html_names_on_wrappers():
     assert html_text.main_text(halves * 2) == "\n".join([("some text " * 40).strip()] * 2)
 
 
+def test_html_article_over_sibling_containers():
+    para = lambda word, n: f"<p>{(word + ' text ') * n}</p>"
+    want = lambda *parts: "\n".join(((w + " text ") * n).strip() if n else w for w, n in parts)
+    menu = "<ul>" + "<li><a>x</a></li>" * 30 + "</ul>"
+    page = f"<body>{menu}<div id=post><section>{para('some', 100)}{para('more', 130)}</section><section>{para('closing', 9)}<p>End.</p>{para('last', 6)}</section></div></body>"
+    assert html_text.main_text(page).endswith(want(("some", 100), ("more", 130), ("closing", 9), ("End.", 0), ("last", 6)))
+    table = f"<body><table><tr><td>{para('opening', 20)}</td></tr><tr><td>{para('some', 300)}{para('more', 300)}</td></tr><tr><td>{para('closing', 20)}</td></tr></table>{'<br>' * 30}{menu}</body>"
+    assert want(("opening", 20), ("some", 300), ("more", 300), ("closing", 20)) in html_text.main_text(table)
+    assert html_text.main_text(page).split("\n").count("x") <= 3 and html_text.main_text(table).split("\n").count("x") <= 3
+
+
 def test_html_articles_whole(spark, sf_dir):
     import html
     import re
