@@ -107,6 +107,18 @@ def words_any(text: Column) -> Column:
     return _udf("array<string>", run)(text)
 
 
+def keep_word_like(segments: Column) -> Column:
+    """The segments with a letter, digit, Katakana or connector in the sense of word breaking."""
+
+    def run(s: pd.Series) -> pd.Series:
+        import regex
+
+        found = regex.compile("[" + "".join(rf"\p{{Word_Break={c}}}" for c in ("ALetter", "Hebrew_Letter", "Numeric", "Katakana", "ExtendNumLet")) + "]").search
+        return s.map(lambda x: None if x is None else [w for w in x if found(w)])
+
+    return _udf("array<string>", run)(segments)
+
+
 #: One letter for each sentence-break class.
 _SENTENCE_CLASSES = {
     "ATerm": "A", "STerm": "T", "Close": "C", "Sp": "S", "Sep": "P", "CR": "R", "LF": "N", "Upper": "U", "Lower": "L", "OLetter": "O", "Numeric": "D", "SContinue": "X", "Extend": "E", "Format": "F",

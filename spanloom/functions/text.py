@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Letters of ASCII and Latin-1.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Text of ASCII printables, tab, line ends and Latin-1 letters: words follow from ``WORD``.
-LATIN = f"^[\\x09\\x0A\\x0D\\x20-\\x7E{LETTERS}]*$"
+#: What a text of ASCII printables, tab, line ends and Latin-1 letters does not hold: without it words follow from ``WORD``.
+NOT_LATIN = f"[^\\x09\\x0A\\x0D\\x20-\\x7E{LETTERS}]"
 #: Default word segmentation (UAX #29) on that repertoire: the matches tile the text.
 WORD = f"(?:[{LETTERS}]+(?:[:.'][{LETTERS}]+)*|[0-9]+(?:[,.;'][0-9]+)*|_)+|\\r\\n| +|[\\s\\S]"
 WORD_LIKE = f"[{LETTERS}0-9_]"
@@ -59,7 +59,7 @@ def has_bidi_controls(text: Column) -> Column:
 
 
 def is_latin(text: Column) -> Column:
-    return F.rlike(text, F.lit(LATIN))
+    return ~F.rlike(text, F.lit(NOT_LATIN))
 
 
 def words(text: Column) -> Column:
@@ -68,6 +68,7 @@ def words(text: Column) -> Column:
 
 
 def word_like(segment: Column) -> Column:
+    """Whether a segment of a text of the Latin repertoire is a word or number."""
     return F.rlike(segment, F.lit(WORD_LIKE))
 
 

@@ -87,7 +87,7 @@ def edits(a: Column, b: Column, prefer: str = "delete", max_d: int | None = None
     return F.pandas_udf(run, EDITS)(a, b)
 
 
-def diff_texts(pairs: DataFrame, a: str = "a", b: str = "b", repertoire: str = "latin") -> DataFrame:
+def diff_texts(pairs: DataFrame, a: str = "a", b: str = "b", repertoire: str = "auto") -> DataFrame:
     """``pairs`` with a_tokens, b_tokens and the tokens that are equal, deleted and inserted; texts are dropped."""
     empty = F.lit("")
     cut = pairs.withColumns({"__a": segments(F.coalesce(a, empty), "word", repertoire), "__b": segments(F.coalesce(b, empty), "word", repertoire)})

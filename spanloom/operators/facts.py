@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanloom.functions import kernels, text
+from spanloom.functions import kernels
 
-from .tokens import segments, tokens, word_arrays
+from .tokens import count_word_like, segments, tokens, word_arrays
 
 
 def top(counts: DataFrame, k: int | None, by: list[str], within: list[str] | None = None) -> DataFrame:
@@ -34,8 +34,9 @@ def word_frequencies(docs: DataFrame, k: int | None = 50, keep: str = "word-like
 
 def word_totals(docs: DataFrame) -> DataFrame:
     """doc_id, tokens of all kinds and word-like ones."""
-    found = docs.select("doc_id", text.words(F.col("text")).alias("w"))
-    return found.select("doc_id", F.size("w").cast("long").alias("all_tokens"), F.size(F.filter("w", text.word_like)).cast("long").alias("word_tokens"))
+    t = F.col("text")
+    found = docs.select("doc_id", "text", segments(t).alias("w"))
+    return found.select("doc_id", F.size("w").cast("long").alias("all_tokens"), count_word_like(F.col("w"), t).cast("long").alias("word_tokens"))
 
 
 def _grams(n: int):
@@ -91,7 +92,7 @@ def duplicate_lines(docs: DataFrame, k: int | None = 50) -> DataFrame:
     return top(counts, k, ["line"])
 
 
-def grapheme_counts(docs: DataFrame, repertoire: str = "latin") -> DataFrame:
+def grapheme_counts(docs: DataFrame, repertoire: str = "auto") -> DataFrame:
     return docs.select("doc_id", F.size(segments(F.col("text"), "grapheme", repertoire)).cast("long").alias("graphemes"))
 
 

@@ -45,7 +45,7 @@ def winnow(hashes: np.ndarray, window: int, dedupe: str = "by-position") -> list
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by-position", id_column: str = "doc_id", repertoire: str = "latin") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by-position", id_column: str = "doc_id", repertoire: str = "auto") -> DataFrame:
     """(id, tok_idx, hash): winnowing fingerprints over FNV-1a hashes of all word tokens."""
 
     def run(s: pd.Series) -> pd.Series:

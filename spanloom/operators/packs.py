@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import text
+from spanloom.functions import kernels, text
+
+from .tokens import count_word_like, segments
 
 
 def analyze_text(docs: DataFrame) -> DataFrame:
     """One row per document: sizes, tokens, graphemes, scans and checksum."""
     t = F.col("text")
-    w = text.words(t)
-    return docs.select(
+    latin = text.is_latin(t)
+    w = F.col("w")
+    return docs.select("doc_id", "text", segments(t).alias("w")).select(
         "doc_id",
         text.code_units(t).alias("code_units"),
         text.code_points(t).alias("code_points"),
         text.utf8_bytes(t).alias("bytes"),
         F.size(w).cast("long").alias("tokens"),
-        F.size(F.filter(w, text.word_like)).cast("long").alias("words"),
-        (text.code_points(t) - F.regexp_count(t, F.lit("\\r\\n"))).cast("long").alias("graphemes"),
+        count_word_like(w, t).cast("long").alias("words"),
+        F.when(latin, text.code_points(t) - F.regexp_count(t, F.lit("\\r\\n"))).otherwise(F.size(kernels.graphemes(F.when(~latin, t)))).cast("long").alias("graphemes"),
         text.count_class(t, text.CONTROL).alias("control_chars"),
         text.has_bidi_controls(t).alias("has_bidi_controls"),
         text.sha256_text(t).alias("sha256"),

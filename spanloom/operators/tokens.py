@@ -8,36 +8,55 @@ from pyspark.sql import functions as F
 from spanloom.functions import kernels, text
 
 
-def segments(column, tokenizer: str = "word", repertoire: str = "latin"):
-    """Array of the tokens that tile a text.
+def segments(column, tokenizer: str = "word", repertoire: str = "auto", keep: str = "all"):
+    """Array of the tokens that tile a text, or of the word-like ones.
 
-    ``repertoire`` "latin" stays native and needs texts of ASCII and Latin-1 letters; "any" takes
-    all texts through an Arrow kernel.
+    ``repertoire`` "auto" decides for each text: one of ASCII and Latin-1 letters stays native, any
+    other goes through an Arrow kernel.  "latin" takes all texts for such ones, "any" takes none.
     """
     if tokenizer == "code_point":
-        return F.filter(F.split(column, ""), lambda x: x != "")
-    if tokenizer == "grapheme":
-        return kernels.graphemes(column) if repertoire == "any" else F.regexp_extract_all(column, F.lit("\\r\\n|[\\s\\S]"), F.lit(0))
-    if tokenizer == "word":
-        return kernels.words_any(column) if repertoire == "any" else text.words(column)
-    raise ValueError(f"unknown tokenizer {tokenizer}")
+        native = F.filter(F.split(column, ""), lambda x: x != "")
+    elif tokenizer == "grapheme":
+        native = F.regexp_extract_all(column, F.lit("\\r\\n|[\\s\\S]"), F.lit(0))
+    elif tokenizer == "word":
+        native = text.words(column)
+    else:
+        raise ValueError(f"unknown tokenizer {tokenizer}")
+    latin = F.lit(repertoire == "latin") if repertoire != "auto" else text.is_latin(column)
+    kept = F.filter(native, text.word_like) if keep == "word-like" else native
+    if repertoire == "latin" or (tokenizer == "code_point" and keep != "word-like"):
+        return kept
+    # The kernels run for every row, so the others give them a null.
+    rest = F.when(~latin, native if tokenizer == "code_point" else column)
+    found = rest if tokenizer == "code_point" else kernels.graphemes(rest) if tokenizer == "grapheme" else kernels.words_any(rest)
+    found = kernels.keep_word_like(found) if keep == "word-like" else found
+    return found if repertoire == "any" else F.when(latin, kept).otherwise(found)
 
 
-def word_arrays(docs: DataFrame, keep: str = "word-like", column: str = "text", repertoire: str = "latin", tokenizer: str = "word") -> DataFrame:
+def count_word_like(words, column):
+    """How many of ``words``, the segments of the text ``column``, are word-like."""
+    latin = text.is_latin(column)
+    return F.when(latin, F.size(F.filter(words, text.word_like))).otherwise(F.size(kernels.keep_word_like(F.when(~latin, words))))
+
+
+def case_fold(column):
+    """Full case folding, native where the text is of the Latin repertoire."""
+    latin = text.is_latin(column)
+    return F.when(latin, text.case_fold_latin(column)).otherwise(kernels.case_fold(F.when(~latin, column)))
+
+
+def word_arrays(docs: DataFrame, keep: str = "word-like", column: str = "text", repertoire: str = "auto", tokenizer: str = "word") -> DataFrame:
     """``docs`` without its text, with ``words``: the tokens of each text, all or word-like ones."""
-    found = segments(F.col(column), tokenizer, repertoire)
-    if keep == "word-like":
-        found = F.filter(found, text.word_like)
-    return docs.withColumn("words", found).drop(column)
+    return docs.withColumn("words", segments(F.col(column), tokenizer, repertoire, keep)).drop(column)
 
 
-def tokens(docs: DataFrame, keep: str = "word-like", column: str = "text", repertoire: str = "latin", tokenizer: str = "word") -> DataFrame:
+def tokens(docs: DataFrame, keep: str = "word-like", column: str = "text", repertoire: str = "auto", tokenizer: str = "word") -> DataFrame:
     """One row per token, numbered from 0 in its document after filtering."""
-    rows = word_arrays(docs, keep, column, repertoire, tokenizer)
-    return rows.select(*[c for c in rows.columns if c != "words"], F.posexplode("words").alias("tok_idx", "raw"))
+    # exploded at once: of a column Spark would infer filters that cut the text again
+    return docs.select(*[c for c in docs.columns if c not in (column, "words")], F.posexplode(segments(F.col(column), tokenizer, repertoire, keep)).alias("tok_idx", "raw"))
 
 
-def spans(docs: DataFrame, id_column: str = "doc_id", column: str = "text", tokenizer: str = "word", repertoire: str = "latin") -> DataFrame:
+def spans(docs: DataFrame, id_column: str = "doc_id", column: str = "text", tokenizer: str = "word", repertoire: str = "auto") -> DataFrame:
     """(id, tok_idx, start_cu, end_cu, raw) of all tokens, in UTF-16 code units."""
     words = segments(F.col(column), tokenizer, repertoire)
     found = F.zip_with(kernels.ends_cu(words), words, lambda e, w: F.struct(e.alias("end_cu"), w.alias("raw")))

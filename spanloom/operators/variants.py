@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import text
+from .tokens import case_fold, tokens
 
-from .tokens import tokens
 
-
-def variant_index(docs: DataFrame, keep: str = "word-like", forms_per_key: int = 5, key=text.case_fold_latin) -> DataFrame:
+def variant_index(docs: DataFrame, keep: str = "word-like", forms_per_key: int = 5, key=case_fold) -> DataFrame:
     """(key, total, forms, top_forms): counts per canonical key; ``top_forms`` lists the commonest forms.
 
     Forms are counted first, then gathered by key, so a key gathers at most its distinct forms.

@@ -68,7 +68,8 @@ def _xxh64_tokens(docs: DataFrame) -> DataFrame:
 
 
 def _casefolded(docs: DataFrame) -> DataFrame:
-    folded = tokens.tokens(docs.select("text")).groupBy(text.case_fold_latin(F.col("raw")).alias("token")).agg(F.count(F.lit(1)).alias("count"))
+    forms = tokens.tokens(docs.select("text")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    folded = forms.groupBy(tokens.case_fold(F.col("raw")).alias("token")).agg(F.sum("n").alias("count"))
     return facts.top(folded, 50, ["token"])
 
 

@@ -1,6 +1,7 @@
 """Unit tests of the functions and operators outside the registered queries."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -164,3 +165,37 @@ def test_provenance(spark):
     assert p.config_hash({"b": float("inf"), "a": 1}) == p.fnv1a32('{"a":1,"b":null}')
     block = p.provenance("words", "UAX #29", "17.0.0", {"filter": "all"})
     assert one(spark, p.literal(block)).algorithm.spec == "UAX #29"
+
+
+OTHER = ["Łódź łódź ŁÓDŹ", "Привет, мир! привет", "Ὀδυσσεύς ΟΔΥΣΣΕΎΣ 3.14", "مرحبا بالعالم", "cafe\u0301 e\u0301 ok", "\U0001f468\u200d\U0001f469\u200d\U0001f467 ab\u2014cd", "plain it's\r\nrow", "µm カタカナ 漢字"]
+
+
+def test_tokens_of_every_script(spark):
+    docs = spark.createDataFrame(list(enumerate(OTHER)), "doc_id long, text string")
+    words = [
+        ["Łódź", "łódź", "ŁÓDŹ"], ["Привет", "мир", "привет"], ["Ὀδυσσεύς", "ΟΔΥΣΣΕΎΣ", "3.14"], ["مرحبا", "بالعالم"], ["cafe\u0301", "e\u0301", "ok"], ["ab", "cd"], ["plain", "it's", "row"], ["µm", "カタカナ"],
+    ]
+    flat = [w for ws in words for w in ws]
+    assert {r.doc_id: r.words for r in tokens.word_arrays(docs).collect()} == dict(enumerate(words))
+    assert {r.token: r["count"] for r in facts.word_frequencies(docs, None).collect()} == {w: flat.count(w) for w in flat}
+    assert {r.gram for r in facts.word_ngrams(docs, 2, None).collect()} == {f"{a} {b}" for ws in words for a, b in zip(ws, ws[1:], strict=False)}
+    assert {r.doc_id: r.word_tokens for r in facts.word_totals(docs).collect()} == {i: len(ws) for i, ws in enumerate(words)}
+    graphemes = {0: 14, 1: 19, 2: 22, 3: 13, 4: 9, 5: 7, 6: 14, 7: 10}
+    assert {r.doc_id: r.graphemes for r in facts.grapheme_counts(docs).collect()} == graphemes
+    assert {r.doc_id: (r.words, r.graphemes) for r in packs.analyze_text(docs).collect()} == {i: (len(ws), graphemes[i]) for i, ws in enumerate(words)}
+    keys = {r.key: (r.total, r.forms) for r in variants.variant_index(docs).collect()}
+    assert keys["łódź"] == (3, 3) and keys["привет"] == (2, 2) and keys["μm"] == (1, 1) and "οδυσσεύσ" in keys
+    assert {r.raw for r in tokens.tokens(docs, tokenizer="code_point").where("doc_id = 1").collect()} == set("Приветмпрп")
+    pair = spark.createDataFrame([("старый мир здесь", "новый мир здесь")], "a string, b string")
+    r = diff.diff_texts(pair).first()
+    assert (r.a_tokens, r.b_tokens, r.equal, r.deleted, r.inserted) == (5, 5, 4, 1, 1)
+    long = spark.createDataFrame([(1, " ".join(f"слово{i}" for i in range(20)))], "doc_id long, text string")
+    assert fingerprint.fingerprints(long).collect() == fingerprint.fingerprints(long, repertoire="any").collect() != []
+
+
+def test_streamed_words_of_every_script(spark, tmp_path):
+    from spanloom.streaming import facts as streaming
+
+    spark.createDataFrame([("Łódź мир мир",), ("plain",)], "text string").write.parquet(f"{tmp_path}/in")
+    counts = streaming.word_counts(spark.readStream.schema("text string").parquet(f"{tmp_path}/in"))
+    assert {r.token: r["count"] for r in streaming.drain(spark, counts, uuid.uuid4().hex).collect()} == {"Łódź": 1, "мир": 2, "plain": 1}
