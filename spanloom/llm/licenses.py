@@ -7,7 +7,8 @@ equal ends first.  A template's coverage is the share of its words that are alig
 Alignment only concerns words that a template has, so a text is reduced to those first, with
 their word numbers: one vectorised pass finds them, and texts without enough different words
 of a template, standing near enough together, are never aligned.  A gap reaches at most
-``SLACK`` times the template's length from the anchors, as a notice stands in one place.
+``SLACK`` times the template's length from the anchors, as a notice stands in one place.  Copies
+that follow each other leave few words unique, so parts of about one copy are aligned as well.
 """
 
 from __future__ import annotations
@@ -137,27 +138,38 @@ class Library:
         """The best alignment of one template: aligned words, first, last word.
 
         Candidates are the stretches of ``SLACK`` template lengths around the template's rarest
-        words in the text, so a notice is found wherever it stands and however often.
+        words in the text, so a notice is found wherever it stands; where one may hold several
+        copies, also the stretches of one template length that give the rare word its place.
         """
         reach = SLACK * len(words)
         rare = Counter(hashes.tolist())
         # most-common words place nothing: the rarest word that must be there does
         spare = len(words) - int(np.ceil(self.coverage * len(words)))
-        keys = sorted(set(words) & set(rare), key=lambda w: rare[w])[: spare + 1]
-        centres = at[np.isin(hashes, np.array(keys, np.uint64))]
+        keys = sorted((w for w in dict.fromkeys(words) if w in rare), key=lambda w: rare[w])[: spare + 1]
+        centres = np.flatnonzero(np.isin(hashes, np.array(keys, np.uint64)))
+        places = {w: [q for q, x in enumerate(words) if x == w] for w in keys}
+        fewest = len(set(words)) - spare
         best = None
         last = -1
-        for c in centres.tolist():
+        for i in centres.tolist():
+            c = int(at[i])
             lo, hi = np.searchsorted(at, [c - reach, c + reach + 1])
             if hi <= last:
                 continue
-            part = hashes[lo:hi].tolist()
-            pairs = align(part, words)
-            if pairs and (best is None or len(pairs) > best[0]):
-                best = len(pairs), int(at[lo + pairs[0][0]]), int(at[lo + pairs[-1][0]])
-                if best[0] == len(words):
-                    break
-            last = hi if len(part) <= len(words) else -1
+            stretches = [(lo, hi)]
+            if hi - lo > len(words):
+                spans = [(c - q - m, c - q + len(words) + m) for m in sorted({0, spare, len(words) // 2}) for q in places[int(hashes[i])]]
+                stretches += [tuple(np.searchsorted(at, x)) for x in spans]
+            for a, b in stretches:
+                part = hashes[a:b].tolist()
+                if len(set(part)) < fewest:
+                    continue
+                pairs = align(part, words)
+                if pairs and (best is None or len(pairs) > best[0]):
+                    best = len(pairs), int(at[a + pairs[0][0]]), int(at[a + pairs[-1][0]])
+                    if best[0] == len(words):
+                        return best
+            last = hi if hi - lo <= len(words) else -1
         return best
 
 

@@ -171,6 +171,17 @@ def test_licenses(spark, odd, odd_rows, empty):
     assert licenses.scan_licenses(odd).count() == len(odd_rows) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_repeated_notices(spark):
+    before, after = "the of and the software to this in and is " * 3, "the and of license under a the rights " * 3
+    rows = [(name, n, before + (text + "\n") * n + after) for name, text in licenses.TEMPLATES.items() for n in (1, 2, 3, 9)]
+    docs = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: {x.license: x.coverage for x in r.licenses} for r in licenses.scan_licenses(docs).collect()}
+    assert all(found[i].get(name) == 1.0 for i, (name, _, _) in enumerate(rows))
+    edited = licenses.TEMPLATES["MIT-text"].replace("free of charge", "at no cost at all").replace("Permission is", "Leave is") + "\n"
+    r = licenses.scan_licenses(spark.createDataFrame([(1, before + edited * 5 + after)], "doc_id long, text string")).first()
+    assert r.license == "MIT-text" and r.coverage > 0.9
+
+
 def test_patience_alignment_is_rising_and_equal():
     rng = random.Random(1)
     for _ in range(50):
