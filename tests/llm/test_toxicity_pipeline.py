@@ -48,3 +48,11 @@ def test_pipeline_stages(spark, sf_dir, odd, empty, table):
         assert out.count() <= n and (name != "mixing" or out.count() == docs.count())
         docs, n = out, out.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == n
+
+
+def test_different_texts_under_one_id_stay(spark, sf_dir):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(80))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (5, text("b")), (5, text("c")), (7, text("c") + " end"), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, text("a")), (5, text("b")), (5, text("c")), (0, text("a"))])
