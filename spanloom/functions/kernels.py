@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -63,6 +64,58 @@ def xxh64_utf8(text: Column, seed: int = 0) -> Column:
     return _udf("long", run)(text)
 
 
+def hash64(text: Column, algo: str = "xxh64-utf8", seed: int = 0) -> Column:
+    """fnv1a64-utf16le, fnv1a64-utf8 or xxh64-utf8 of a text; only the last has a seed."""
+    if seed and algo != "xxh64-utf8":
+        raise ValueError("HASH64_SEED_UNSUPPORTED")
+    known = {"fnv1a64-utf16le": fnv1a64_utf16, "fnv1a64-utf8": fnv1a64_utf8, "xxh64-utf8": lambda t: xxh64_utf8(t, seed)}
+    if algo not in known:
+        raise ValueError(f"HASH64_ALGO_UNSUPPORTED: {algo}")
+    return known[algo](text)
+
+
+def hash64_bytes(raw: Column, algo: str = "xxh64", seed: int = 0) -> Column:
+    """fnv1a64 or xxh64 of bytes."""
+    if algo not in ("xxh64", "fnv1a64") or seed and algo == "fnv1a64":
+        raise ValueError(f"HASH64_ALGO_UNSUPPORTED: {algo} with seed {seed}")
+
+    def run(s: pd.Series) -> pd.Series:
+        import xxhash
+
+        known = s.notna().to_numpy()
+        if algo == "fnv1a64":
+            return pd.Series(fnv1a64([bytes(x) if x is not None else b"" for x in s]).view(np.int64)).where(known)
+        return pd.Series([None if x is None else int(np.uint64(xxhash.xxh64_intdigest(x, seed)).astype(np.int64)) for x in s], dtype="Int64")
+
+    return _udf("long", run)(raw)
+
+
+def hash64_span(text: Column, start: Column, end: Column, algo: str = "xxh64-utf8") -> Column:
+    """``hash64`` of the part from ``start`` to ``end`` in UTF-16 code units."""
+    from .protocol import slice_by_span
+
+    return hash64(slice_by_span(text, start, end), algo)
+
+
+def hash128_hex(text: Column, left: str = "fnv1a64-utf16le", right: str = "xxh64-utf8") -> Column:
+    """Two 64-bit hashes as 32 hexadecimal digits."""
+    half = lambda algo: F.lpad(F.lower(F.hex(hash64(text, algo))), 16, "0")
+    return F.concat(half(left), half(right))
+
+
+def parse_u64_hex(digits: Column) -> Column:
+    """16 lower-case hexadecimal digits as the signed long of the same bits; anything else is null."""
+    high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")
+    return F.when(F.rlike(digits, F.lit("^[0-9a-f]{16}$")), F.shiftleft(high, 32).bitwiseOR(low))
+
+
+def parse_hash128_hex(digits: Column) -> Column:
+    """struct<left, right> of 32 digits; null where they are not that."""
+    ok = F.rlike(digits, F.lit("^[0-9a-f]{32}$"))
+    return F.when(ok, F.struct(parse_u64_hex(F.substring(digits, 1, 16)).alias("left"), parse_u64_hex(F.substring(digits, 17, 16)).alias("right")))
+
+
 def normalize(text: Column, form: str) -> Column:
     """NFC, NFD, NFKC or NFKD; texts of ASCII only are returned as they are."""
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
@@ -74,6 +127,34 @@ def normalize(text: Column, form: str) -> Column:
     return _udf("string", run)(text)
 
 
+def normal_forms(text: Column) -> Column:
+    """struct<is_nfc, is_nfd, is_nfkc, is_nfkd>, in one pass; nulls for null."""
+    forms = ("NFC", "NFD", "NFKC", "NFKD")
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 4 if x is None else (True,) * 4 if x.isascii() else tuple(unicodedata.is_normalized(f, x) for f in forms) for x in s]
+        return pd.DataFrame(rows, columns=[f"is_{f.lower()}" for f in forms], dtype="object")
+
+    return _udf("struct<" + ",".join(f"is_{f.lower()}:boolean" for f in forms) + ">", run)(text)
+
+
+def explain_normalization(text: Column, form: str) -> Column:
+    """struct<output, decomposed, reordered, composed>: code points after each stage."""
+
+    def one(x: str) -> tuple:
+        full = "".join(unicodedata.normalize("NFKD" if "K" in form else "NFD", c) for c in x)
+        ordered = unicodedata.normalize("NFD", full)
+        out = unicodedata.normalize(form, x)
+        return out, *([ord(c) for c in stage] for stage in (full, ordered, out))
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None,) * 4 if x is None else one(x) for x in s], columns=["output", "decomposed", "reordered", "composed"])
+
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"NORMALIZATION_FORM_UNSUPPORTED: {form}")
+    return _udf("struct<output:string,decomposed:array<int>,reordered:array<int>,composed:array<int>>", run)(text)
+
+
 def case_fold(text: Column) -> Column:
     return _udf("string", lambda s: s.map(lambda x: None if x is None else x.casefold()))(text)
 
@@ -143,8 +224,6 @@ _classes: _Classes | None = None
 
 def split_sentences(text: str) -> list[str]:
     """Default sentence segments (UAX #29); they tile the text."""
-    import re
-
     global _classes
     if _classes is None:
         _classes = _Classes()
@@ -183,18 +262,6 @@ def char_property(char: Column, name: str) -> Column:
     return _udf("string", lambda s: s.map(lambda x: None if not x else looked_up(x[0])))(char)
 
 
-def script(char: Column, scripts: tuple[str, ...] = ("Latin", "Greek", "Cyrillic", "Han", "Arabic", "Hebrew", "Common", "Inherited")) -> Column:
-    """The script of a character among ``scripts``, else Other."""
-
-    def run(s: pd.Series) -> pd.Series:
-        import regex
-
-        tests = [(n, regex.compile(rf"\p{{Script={n}}}")) for n in scripts]
-        return s.map(lambda x: None if not x else next((n for n, t in tests if t.match(x)), "Other"))
-
-    return _udf("string", run)(char)
-
-
 def ends_cu(segments: Column) -> Column:
     """Running end of each segment in UTF-16 code units."""
 
@@ -221,10 +288,6 @@ def punycode_decode(label: Column) -> Column:
     return _udf("string", lambda s: s.map(one))(label)
 
 
-def general_category(char: Column) -> Column:
-    return _udf("string", lambda s: s.map(lambda x: None if not x else unicodedata.category(x[0])))(char)
-
-
 def jcs_number(x: float) -> str:
     """A number as ECMAScript writes it."""
     if x != x or x in (float("inf"), float("-inf")):
@@ -254,10 +317,71 @@ def jcs_number(x: float) -> str:
 _ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
-def _jcs_string(s: str) -> str:
-    if any(0xD800 <= ord(c) <= 0xDFFF for c in s):
+_NONCHARACTER = re.compile("[\ufdd0-\ufdef" + "".join(f"{chr(p * 0x10000 + 0xFFFE)}{chr(p * 0x10000 + 0xFFFF)}" for p in range(17)) + "]")
+
+
+def _ijson_string(s: str) -> str:
+    if re.search("[\ud800-\udfff]", s):
         raise ValueError("IJSON_LONE_SURROGATE")
-    return '"' + "".join(_ESCAPES.get(c) or (f"\\u{ord(c):04x}" if c < " " else c) for c in s) + '"'
+    if _NONCHARACTER.search(s):
+        raise ValueError("IJSON_NONCHARACTER")
+    return s
+
+
+def _quoted(s: str) -> str:
+    return '"' + "".join(_ESCAPES.get(c) or (f"\\u{ord(c):04x}" if c < " " or "\ud800" <= c <= "\udfff" else c) for c in s) + '"'
+
+
+def _jcs_string(s: str) -> str:
+    return _quoted(_ijson_string(s))
+
+
+def assert_ijson(value: object) -> None:
+    """An error unless the value is I-JSON: plain types, finite numbers, strings without lone surrogates and noncharacters, no cycles."""
+    open_: set[int] = set()
+
+    def visit(v: object) -> None:
+        if v is None or isinstance(v, bool):
+            return
+        if isinstance(v, str):
+            _ijson_string(v)
+        elif isinstance(v, int | float):
+            if v != v or v in (float("inf"), float("-inf")):
+                raise ValueError("JCS_NON_FINITE")
+        elif isinstance(v, list | tuple | dict):
+            if id(v) in open_:
+                raise ValueError("IJSON_CYCLE")
+            open_.add(id(v))
+            if isinstance(v, dict):
+                for k in v:
+                    if not isinstance(k, str):
+                        raise TypeError("IJSON_TYPE: key")
+                    _ijson_string(k)
+            for x in v.values() if isinstance(v, dict) else v:
+                visit(x)
+            open_.discard(id(v))
+        else:
+            raise TypeError(f"IJSON_TYPE: {type(v).__name__}")
+
+    visit(value)
+
+
+def canonical_json(value: object) -> str:
+    """Lenient canonical JSON of a model: functions are left out, numbers that are not finite are null, other integers than doubles hold are strings, sets sorted arrays, bytes arrays."""
+    if value is None or isinstance(value, float) and (value != value or value in (float("inf"), float("-inf"))):
+        return "null"
+    if isinstance(value, str):
+        return _quoted(value)
+    if isinstance(value, int) and not isinstance(value, bool) and abs(value) > 2**53:
+        return f'"{value}"'
+    if isinstance(value, bytes | bytearray | list | tuple):
+        return "[" + ",".join("null" if callable(v) else canonical_json(v) for v in value) + "]"
+    if isinstance(value, set | frozenset):
+        return "[" + ",".join(sorted(map(canonical_json, value))) + "]"
+    if isinstance(value, dict):
+        keys = sorted((k for k in value if not callable(value[k])), key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{_quoted(k)}:{canonical_json(value[k])}" for k in keys) + "}"
+    return jcs(value)
 
 
 def jcs(value: object) -> str:

@@ -13,7 +13,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What a text of ASCII printables, tab, line ends and Latin-1 letters does not hold: without it words follow from ``WORD``.
 NOT_LATIN = f"[^\\x09\\x0A\\x0D\\x20-\\x7E{LETTERS}]"
 #: Default word segmentation (UAX #29) on that repertoire: the matches tile the text.
-WORD = f"(?:[{LETTERS}]+(?:[:.'][{LETTERS}]+)*|[0-9]+(?:[,.;'][0-9]+)*|_)+|\\r\\n| +|[\\s\\S]"
+#: Repeats are possessive: nothing after them could need a part back, and the engine walks them without recursion.
+WORD = f"(?:[{LETTERS}]++(?:[:.'][{LETTERS}]++)*+|[0-9]++(?:[,.;'][0-9]++)*+|_)++|\\r\\n| ++|[\\s\\S]"
 WORD_LIKE = f"[{LETTERS}0-9_]"
 
 BIDI_CONTROLS = "\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}"
@@ -96,27 +97,6 @@ def is_ijson(text: Column) -> Column:
     return ~F.rlike(text, F.lit(f"[{NONCHARACTERS}]"))
 
 
-def encode_envelope(text: Column) -> Column:
-    """struct<v, kind, text, base64>: the text itself where JSON can hold it, else its UTF-8 in base64."""
-    safe = is_ijson(text)
-    return F.struct(
-        F.lit(1).alias("v"),
-        F.when(safe, "string").otherwise("utf8-base64").alias("kind"),
-        F.when(safe, text).alias("text"),
-        F.when(~safe, F.base64(F.encode(text, "UTF-8"))).alias("base64"),
-    )
-
-
-def decode_envelope(envelope: Column) -> Column:
-    """The text of an envelope of kind string, utf8-base64 or utf16le-base64; null for a kind unknown."""
-    raw = F.unbase64(envelope["base64"])
-    return (
-        F.when(envelope["kind"] == "string", envelope["text"])
-        .when(envelope["kind"] == "utf8-base64", F.try_validate_utf8(F.decode(raw, "UTF-8")))
-        .when(envelope["kind"] == "utf16le-base64", F.decode(raw, "UTF-16LE"))
-    )
-
-
 def host_of(url: Column) -> Column:
     """Host of an absolute URL, without user and port."""
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)

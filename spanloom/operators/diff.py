@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,69 +11,107 @@ from pyspark.sql import functions as F
 from .tokens import segments
 
 
+#: Frontiers between two that are kept; those of one stretch are computed again on the way back.
+STRETCH = 256
+
+
+def _ids(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    number: dict = {}
+    return tuple(np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in (a, b))
+
+
+def _slide(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Move each (x, y) on while the next elements are equal, in place."""
+    n, m = len(a), len(b)
+    at = np.flatnonzero((x < n) & (y < m))
+    while len(at) > 8:
+        at = at[a[x[at]] == b[y[at]]]
+        x[at] += 1
+        y[at] += 1
+        at = at[(x[at] < n) & (y[at] < m)]
+    for i in at.tolist():
+        p, q, step = int(x[i]), int(y[i]), 16
+        while p < n and q < m:
+            size = min(step, n - p, m - q)
+            same = a[p : p + size] == b[q : q + size]
+            run = size if same.all() else int(same.argmin())
+            p, q, step = p + run, q + run, step * 2
+            if run < size:
+                break
+        x[i], y[i] = p, q
+
+
+def _next(a: np.ndarray, b: np.ndarray, before: np.ndarray | None, d: int, prefer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Furthest x on the diagonals -d, -d + 2, ... d, and which of them came by an insertion."""
+    if before is None:
+        down, x = np.zeros(1, bool), np.zeros(1, np.int64)
+    else:
+        left, right = before[:-1], before[1:]
+        down = np.concatenate([[True], left <= right if prefer == "insert" else left < right, [False]])
+        x = np.where(down, np.append(before, 0), np.append(0, before) + 1)
+    y = x - np.arange(-d, d + 1, 2)
+    _slide(a, b, x, y)
+    return x, down
+
+
 def edit_script(a: list, b: list, prefer: str = "delete", max_d: int | None = None) -> tuple[list[tuple[str, int, int, int, int]], bool]:
     """Runs (op, a0, a1, b0, b1) from ``a`` to ``b``, and whether it was cut short.
 
     With ``prefer`` "delete" the single edits are the fewest.  "insert" takes an insertion wherever
     both neighbouring diagonals reach equally far, and may need more.  Beyond ``max_d`` edits all of
-    ``a`` is deleted and all of ``b`` inserted.
+    ``a`` is deleted and all of ``b`` inserted; without it the time grows with the product of edits
+    and diagonals.  Only every ``STRETCH``-th frontier is kept.
     """
     n, m = len(a), len(b)
+    p, q = _ids(a, b)
     limit = n + m if max_d is None else min(max_d, n + m)
-    reach = {1: 0}
-    trace: list[dict[int, int]] = []
+    kept: dict[int, np.ndarray | None] = {0: None}
+    front = None
     for d in range(limit + 1):
-        trace.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if _down(reach, k, d, prefer) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                return _runs(_walk(trace, n, m, prefer)), False
+        if d % STRETCH == 0:
+            kept[d] = front
+        front, _ = _next(p, q, front, d, prefer)
+        k = np.arange(-d, d + 1, 2)
+        if ((front >= n) & (front - k >= m)).any():
+            return _walk(p, q, kept, d, prefer), False
     return [r for r in (("delete", 0, n, 0, 0), ("insert", n, n, 0, m)) if r[1] < r[2] or r[3] < r[4]], True
 
 
-def _down(reach: dict[int, int], k: int, d: int, prefer: str) -> bool:
-    """Whether diagonal ``k`` is reached by an insertion."""
-    if k in (-d, d):
-        return k == -d
-    left, right = reach[k - 1], reach[k + 1]
-    return left < right or left == right and prefer == "insert"
-
-
-def _walk(trace: list[dict[int, int]], x: int, y: int, prefer: str) -> list[tuple[str, int, int]]:
-    """Single steps (op, a place, b place), first to last."""
-    out = []
-    for d in range(len(trace) - 1, -1, -1):
-        reach, k = trace[d], x - y
-        down = _down(reach, k, d, prefer)
-        before = reach[k + 1] if down else reach.get(k - 1, 0)
-        start = before if down else before + 1
-        if d == 0:
-            start = 0
-        while x > start and y > start - k:
-            x, y = x - 1, y - 1
-            out.append(("equal", x, y))
-        if d:
-            if down:
+def _walk(a: np.ndarray, b: np.ndarray, kept: dict, last: int, prefer: str) -> list[tuple[str, int, int, int, int]]:
+    """The path back from the ends, as runs in order."""
+    runs: list[list] = []
+    x, y = len(a), len(b)
+
+    def add(op: str, x0: int, y0: int) -> None:
+        if x0 == x and y0 == y:
+            return
+        if runs and runs[-1][0] == op:
+            runs[-1][1], runs[-1][3] = x0, y0
+        else:
+            runs.append([op, x0, x, y0, y])
+
+    for base in range(last - last % STRETCH, -1, -STRETCH):
+        stretch, front = [], kept[base]
+        for d in range(base, min(base + STRETCH, last + 1)):
+            before = front
+            front, down = _next(a, b, front, d, prefer)
+            stretch.append((d, before, down))
+        for d, before, down in reversed(stretch):
+            j = (x - y + d) // 2
+            if d == 0:
+                add("equal", 0, 0)
+                break
+            x0 = int(before[j]) if down[j] else int(before[j - 1]) + 1
+            y0 = x0 - (x - y)
+            add("equal", x0, y0)
+            x, y = x0, y0
+            if down[j]:
+                add("insert", x, y - 1)
                 y -= 1
-                out.append(("insert", x, y))
             else:
+                add("delete", x - 1, y)
                 x -= 1
-                out.append(("delete", x, y))
-    return out[::-1]
-
-
-def _runs(steps: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    out: list[list] = []
-    for op, x, y in steps:
-        if not out or out[-1][0] != op:
-            out.append([op, x, x, y, y])
-        out[-1][2] += op != "insert"
-        out[-1][4] += op != "delete"
-    return [tuple(r) for r in out]
+    return [tuple(r) for r in reversed(runs)]
 
 
 EDITS = "array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>"
@@ -101,3 +141,49 @@ def diff_texts(pairs: DataFrame, a: str = "a", b: str = "b", repertoire: str = "
         total("delete", "a1", "a0").alias("deleted"),
         total("insert", "b1", "b0").alias("inserted"),
     )
+
+
+def text_diffs(pairs: DataFrame, a: str = "a", b: str = "b", tokenizer: str = "uax29-word", key: str = "raw", most: int | None = None, max_d: int | None = None, prefer: str = "delete", table: dict | None = None) -> DataFrame:
+    """``pairs`` without the texts, with ``diff``: edits with spans and a summary as canonical JSON, its checksum, and whether it was cut short.
+
+    Null texts count as empty.
+    """
+    from spanloom.functions import kernels, pack
+    from spanloom.functions.security import Skeletons
+
+    known = dict(table or {})
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        import hashlib
+
+        rows = []
+        for p, q in zip(x, y, strict=True):
+            d = pack.diff(p or "", q or "", most, max_d, prefer, tokenizer=tokenizer, key=key, table=Skeletons(known))
+            text = kernels.jcs(d)
+            rows.append((text, f"sha256:{hashlib.sha256(text.encode()).hexdigest()}", d.get("truncated", False)))
+        return pd.DataFrame(rows, columns=["diff", "sha256", "truncated"])
+
+    made = F.pandas_udf(run, "struct<diff:string,sha256:string,truncated:boolean>")(F.col(a), F.col(b))
+    return pairs.select(*[c for c in pairs.columns if c not in (a, b)], made.alias("__d")).select(*[c for c in pairs.columns if c not in (a, b)], "__d.*")
+
+
+def compare_texts(pairs: DataFrame, a: str = "a", b: str = "b", tokenizer: str = "uax29-word", key: str = "raw", k: int = 5, window: int = 4, dedupe: str = "by-hash", with_diff: bool = True, most: int | None = None, max_d: int | None = None, prefer: str = "delete", table: dict | None = None) -> DataFrame:
+    """``pairs`` without the texts, with fingerprint overlap, the exact fractions and edit counts; null texts count as empty."""
+    from spanloom.functions import pack
+    from spanloom.functions.security import Skeletons
+
+    known = dict(table or {})
+    fractions = ("jaccard", "containmentAinB", "containmentBinA")
+    names = ["overlap", *[f"{f}_{p}" for f in ("jaccard", "a_in_b", "b_in_a") for p in ("num", "den")], "inserted", "deleted", "equal"]
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q in zip(x, y, strict=True):
+            got = pack.compare(p or "", q or "", k, window, dedupe, with_diff, most, max_d, prefer, tokenizer=tokenizer, key=key, table=Skeletons(known))
+            f, d = got["fingerprints"], got.get("diff", {}).get("summary", {})
+            rows.append([int(f["overlapCount"]), *[int(f[n][h]) for n in fractions for h in ("num", "den")], *[d.get(n) for n in ("insertedTokens", "deletedTokens", "equalTokens")]])
+        return pd.DataFrame(rows, columns=names)
+
+    made = F.pandas_udf(run, "struct<" + ",".join(f"{n}:bigint" for n in names) + ">")(F.col(a), F.col(b))
+    rest = [c for c in pairs.columns if c not in (a, b)]
+    return pairs.select(*rest, made.alias("__c")).select(*rest, "__c.*")

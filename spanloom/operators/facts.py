@@ -60,15 +60,18 @@ def word_cooccurrence(docs: DataFrame, window: int = 3, k: int | None = 50, keep
 
 
 def char_ngrams(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), k: int | None = 50) -> DataFrame:
-    """(n, gram, count): code-point n-grams, the k commonest of each size."""
+    """(n, gram, count): code-point n-grams, the k commonest of each size.
+
+    Each text is cut into characters once, and neighbours in that array are joined, so the work
+    follows the length.  Null and too short texts have none.
+    """
+    chars = docs.select(F.filter(F.split("text", ""), lambda x: x != "").alias("c"))
     parts = []
     for n in sizes:
-        grams = F.expr(f"case when length(text) >= {n} then transform(sequence(1, length(text) - {n - 1}), i -> substring(text, i, {n})) end")
-        parts.append(docs.select(F.lit(n).alias("n"), F.explode(grams).alias("gram")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    counts = rows.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
+        gram = "concat(" + ", ".join(f"c[i + {j}]" for j in range(n)) + ")"
+        parts.append(f"case when size(c) >= {n} then transform(sequence(0, size(c) - {n}), i -> {gram}) else cast(array() as array<string>) end")
+    rows = chars.select(F.explode(F.expr(f"concat({', '.join(parts)})")).alias("gram"))
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).select(F.length("gram").alias("n"), "gram", "count")
     return top(counts, k, ["gram"], ["n"])
 
 

@@ -45,17 +45,40 @@ def winnow(hashes: np.ndarray, window: int, dedupe: str = "by-position") -> list
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by-position", id_column: str = "doc_id", repertoire: str = "auto") -> DataFrame:
-    """(id, tok_idx, hash): winnowing fingerprints over FNV-1a hashes of all word tokens."""
+#: Rows of one text batch that are held as tokens at a time.
+CHUNK = 256
+
+
+def _token_hashes(words: list[str], algo: str) -> np.ndarray:
+    """64-bit hashes of tokens, each distinct one hashed once."""
+    import xxhash
+
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    if algo == "xxh64-utf8":
+        known = np.array([xxhash.xxh64_intdigest(w.encode()) for w in number], np.uint64)
+    else:
+        known = kernels.fnv1a64([w.encode("utf-16-le" if algo == "fnv1a64-utf16le" else "utf-8") for w in number])
+    return known[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def fingerprints(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by-hash", id_column: str = "doc_id", repertoire: str = "auto", algo: str = "xxh64-utf8") -> DataFrame:
+    """(id, tok_idx, hash): winnowing fingerprints over hashes of all word tokens.
+
+    ``algo``: xxh64-utf8, fnv1a64-utf8 or fnv1a64-utf16le.  Null texts and texts of fewer shingles
+    than a window have none.
+    """
 
     def run(s: pd.Series) -> pd.Series:
-        flat = [w.encode() for words in s if words is not None for w in words]
-        hashes, at, out = kernels.fnv1a64(flat), 0, []
-        for words in s:
-            n = 0 if words is None else len(words)
-            h = shingle_hashes(hashes[at : at + n], k)
-            out.append([{"tok_idx": i, "hash": int(h[i].astype(np.int64))} for i in winnow(h, window, dedupe)])
-            at += n
+        out = []
+        for at in range(0, len(s), CHUNK):
+            part = s.iloc[at : at + CHUNK]
+            hashes, done = _token_hashes([w for words in part if words is not None for w in words], algo), 0
+            for words in part:
+                n = 0 if words is None else len(words)
+                h = shingle_hashes(hashes[done : done + n], k)
+                out.append([{"tok_idx": i, "hash": int(h[i].astype(np.int64))} for i in winnow(h, window, dedupe)])
+                done += n
         return pd.Series(out)
 
     prints = F.pandas_udf(run, "array<struct<tok_idx:int,hash:long>>")
@@ -63,6 +86,47 @@ def fingerprints(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by
     return rows.select(id_column, "p.tok_idx", "p.hash")
 
 
+def fingerprint_set(prints: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Distinct (id, hash)."""
+    return prints.select(id_column, "hash").distinct()
+
+
+def posting_lists(prints: DataFrame, id_column: str = "doc_id", most: int = 1000) -> DataFrame:
+    """(hash, documents, ids, truncated): the ids of each hash in order, at most the ``most`` least ones.
+
+    A hash that all documents share is counted whole, but its list stays bounded.
+    """
+    from pyspark.sql import Window
+
+    rows = fingerprint_set(prints, id_column)
+    sizes = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("documents"))
+    # the least ids: by hash and salt first, so a common hash is not sorted in one task
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(64)))
+    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("hash", "salt").orderBy(id_column))).where(F.col("r") <= most)
+    ids = near.groupBy("hash").agg(F.slice(F.array_sort(F.collect_list(id_column)), 1, most).alias("ids"))
+    return sizes.join(ids, "hash").withColumn("truncated", F.col("documents") > most)
+
+
+def verified_buckets(docs: DataFrame, k: int = 5, window: int = 4, dedupe: str = "by-hash", id_column: str = "doc_id") -> DataFrame:
+    """(hash, kgrams, documents): different token k-grams behind each hash; more than one is a collision of hashes."""
+    words = F.pandas_udf(_kgram_rows(k, window, dedupe), "array<struct<hash:long,kgram:string>>")
+    rows = docs.select(id_column, F.explode(words(segments(F.col("text"), "word", "auto"))).alias("x")).select(id_column, "x.*")
+    pairs = rows.groupBy("hash", "kgram").agg(F.count_distinct(id_column).alias("n"))
+    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("kgrams"), F.sum("n").alias("documents"))
+
+
+def _kgram_rows(k: int, window: int, dedupe: str):
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for words in s:
+            ws = [] if words is None else list(words)
+            h = shingle_hashes(_token_hashes(ws, "xxh64-utf8"), k)
+            out.append([{"hash": int(h[i].astype(np.int64)), "kgram": " ".join(f"{len(w)}:{w}" for w in ws[i : i + k])} for i in winnow(h, window, dedupe)])
+        return pd.Series(out)
+
+    return run
+
+
 def index_stats(prints: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row: postings, distinct hashes, documents, and the longest posting list."""
     lists = prints.select("hash", id_column).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
@@ -71,22 +135,25 @@ def index_stats(prints: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def overlap(prints: DataFrame, queries: DataFrame, id_column: str = "doc_id", query_id: str = "item_id") -> DataFrame:
-    """(id, query, shared, jaccard_num, jaccard_den, containment_num, containment_den) of pairs that share a hash.
+    """(id, query, shared, and the fractions jaccard, containment and containment_back) of pairs that share a hash.
 
-    ``queries`` is a query set; each of its hashes meets the postings of all documents.
-    Containment is the share of the query's hashes.
+    ``queries`` is a query set; each of its hashes meets the postings of all documents, whose side
+    is stored rows that Spark can deal anew where one hash is common.  Containment is the share of
+    the query's hashes, containment_back that of the document's.  Pairs that share nothing have
+    0/1 by ``ratio`` and are not listed.
     """
-    a = prints.select(id_column, "hash").distinct()
-    b = queries.select(F.col(query_id), "hash").distinct()
+    a = fingerprint_set(prints, id_column)
+    b = fingerprint_set(queries, query_id)
     size_a = a.groupBy(id_column).agg(F.count(F.lit(1)).alias("na"))
     size_b = b.groupBy(query_id).agg(F.count(F.lit(1)).alias("nb"))
     shared = a.join(b, "hash").groupBy(id_column, query_id).agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(size_a, id_column).join(size_b, query_id).select(
-        id_column,
-        query_id,
-        "shared",
-        F.col("shared").alias("jaccard_num"),
-        (F.col("na") + F.col("nb") - F.col("shared")).alias("jaccard_den"),
-        F.col("shared").alias("containment_num"),
-        F.col("nb").alias("containment_den"),
-    )
+    rows = shared.join(size_a, id_column).join(size_b, query_id)
+    fractions = {"jaccard": F.col("na") + F.col("nb") - F.col("shared"), "containment": F.col("nb"), "containment_back": F.col("na")}
+    cols = [c for name, den in fractions.items() for c in ratio(F.col("shared"), den, name)]
+    return rows.select(id_column, query_id, "shared", *cols)
+
+
+def ratio(num, den, name: str) -> list:
+    """<name>_num and <name>_den; 0/1 where the denominator is 0."""
+    none = den == 0
+    return [F.when(none, F.lit(0)).otherwise(num).cast("long").alias(f"{name}_num"), F.when(none, F.lit(1)).otherwise(den).cast("long").alias(f"{name}_den")]

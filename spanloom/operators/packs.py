@@ -1,12 +1,17 @@
-"""Summary packs: scalar facts of each text, and of a corpus."""
+"""Summary packs: scalar facts of each text and of a corpus, and whole packs as canonical JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import kernels, text
+from spanloom.functions import bidi, kernels, linebreak, pack, text
+from spanloom.functions.security import Skeletons
 
+from . import facts, fingerprint
 from .tokens import count_word_like, segments
 
 
@@ -29,6 +34,14 @@ def analyze_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def size_guard(docs: DataFrame, limit: int = 8_000_000, column: str = "text") -> DataFrame:
+    """``docs``, once one cheap scan has shown that its texts hold at most ``limit`` code units in all; else an error before any heavy work."""
+    total = docs.agg(F.sum(text.code_units(F.col(column))).alias("n")).first().n or 0
+    if total > limit:
+        raise ValueError(f"CORPUS_TOO_LARGE: {total} code units, at most {limit}")
+    return docs
+
+
 def analyze_corpus(docs: DataFrame, limit_code_units: int | None = None) -> DataFrame:
     """One row for the corpus.  With a limit, a corpus of more code units is an error."""
     each = analyze_text(docs)
@@ -40,3 +53,108 @@ def analyze_corpus(docs: DataFrame, limit_code_units: int | None = None) -> Data
     if limit_code_units is not None:
         total = total.where(F.when(F.col("code_units") <= limit_code_units, True).otherwise(F.raise_error(F.lit("CORPUS_TOO_LARGE")).cast("boolean")))
     return total
+
+
+def _json(texts: Column, make: Callable[[str], dict]) -> Column:
+    """struct<json, sha256> of what ``make`` gives for each text; null for null."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        import hashlib
+
+        found = [None if x is None else kernels.jcs(make(x)) for x in s]
+        return pd.DataFrame([(x, None if x is None else f"sha256:{hashlib.sha256(x.encode()).hexdigest()}") for x in found], columns=["json", "sha256"])
+
+    return F.pandas_udf(run, "struct<json:string,sha256:string>")(texts)
+
+
+def pack_v1(texts: Column, options: Mapping | None = None, table: Skeletons | None = None) -> Column:
+    """Exchange packs of texts as canonical JSON, with their checksum; see ``functions.pack.pack_v1``."""
+    opts, known = dict(options or {}), dict(table or {})
+    return _json(texts, lambda x: pack.pack_v1(x, opts, Skeletons(known)))
+
+
+def fact_pack(texts: Column, options: Mapping | None = None, table: Skeletons | None = None) -> Column:
+    """All facts of each text as canonical JSON; see ``functions.pack.fact_pack``.  A text over the size limit is an error."""
+    opts, known = dict(options or {}), dict(table or {})
+    return _json(texts, lambda x: _plain(pack.fact_pack(x, opts, Skeletons(known))))
+
+
+def _plain(value: object) -> object:
+    """Strings that I-JSON cannot hold go into envelopes."""
+    from spanloom.functions import protocol
+
+    if isinstance(value, str):
+        return value if protocol.is_ijson_text(value) else protocol.envelope(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list | tuple) else value
+
+
+def surface_profiles(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), top: int = 50, bins: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """doc_id, profile, sha256: the surface profile of each text as canonical JSON."""
+    made = _json(F.col("text"), lambda x: _plain(pack.surface_profile(x, sizes, top, bins)))
+    return docs.select("doc_id", made.alias("p")).select("doc_id", F.col("p.json").alias("profile"), "p.sha256")
+
+
+def display_facts(docs: DataFrame) -> DataFrame:
+    """doc_id, line breaks (all and mandatory), bidi runs, paragraph level, mixed direction, bidi controls."""
+    breaks = linebreak.breaks(F.col("text"))
+    rows = docs.select("doc_id", breaks.alias("b"), bidi.facts(F.col("text")).alias("d"))
+    return rows.select(
+        "doc_id",
+        F.size("b").cast("long").alias("line_breaks"),
+        F.size(F.filter("b", lambda x: x["kind"] == "mandatory")).cast("long").alias("mandatory_breaks"),
+        F.size("d.runs").cast("long").alias("bidi_runs"),
+        F.col("d.paragraph_level").alias("paragraph_level"),
+        F.col("d.mixed_direction").alias("mixed_direction"),
+        F.size("d.control_spans").cast("long").alias("bidi_controls"),
+    )
+
+
+def corpus_pack(docs: DataFrame, n: int = 2, window: int = 3, top: int = 50, keep: str = "word-like", k: int = 5, winnow: int = 4, limit_code_units: int | None = None) -> DataFrame:
+    """(section, place, item, count): the whole corpus pack as rows.
+
+    Sections: summary, words, ngrams, cooccurrence, repetition, duplicate_sentences, display,
+    security, safety, fingerprint; place numbers the items of a section from 1 by falling count.
+    Every section is an aggregate of its own over the table, so nothing is gathered but ``top``
+    rows each.  With a limit, a larger corpus is an error.
+    """
+    docs = size_guard(docs, limit_code_units) if limit_code_units is not None else docs
+
+    def scalars(section: str, one: DataFrame) -> DataFrame:
+        names = one.columns
+        pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("item"), F.col(c).cast("long").alias("count")) for i, c in enumerate(names, 1)])
+        return one.select(F.lit(section).alias("section"), F.explode(pairs).alias("x")).select("section", "x.*")
+
+    def ranked(section: str, counts: DataFrame, item: Column) -> DataFrame:
+        best = counts.select(item.alias("item"), "count").orderBy(F.desc("count"), "item").limit(top)
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "item")))
+        return best.agg(rows.alias("r")).select(F.lit(section).alias("section"), F.posexplode("r").alias("place", "x")).select("section", F.col("place") + 1, F.col("x.item").alias("item"), (-F.col("x.order")).alias("count"))
+
+    each = analyze_text(docs)
+    total = lambda names: [F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in names]
+    shown = display_facts(docs)
+    display = shown.agg(
+        *total(("line_breaks", "mandatory_breaks", "bidi_runs")), F.count_if(F.col("paragraph_level") == 0).alias("left_to_right"), F.count_if(F.col("paragraph_level") == 1).alias("right_to_left"),
+        F.count_if("mixed_direction").alias("mixed_direction_docs"), *total(("bidi_controls",)), F.count_if(F.col("bidi_controls") > 0).alias("docs_with_bidi_controls"),
+    )
+    from . import profile
+
+    sentences = facts.duplicate_sentences(docs, None)
+    grams = facts.word_ngrams(docs, n, None, keep)
+    prints = fingerprint.fingerprints(docs, k, winnow, "by-hash").select("doc_id", "hash").distinct()
+    parts = [
+        scalars("summary", each.agg(F.count(F.lit(1)).alias("documents"), *total(("code_units", "code_points", "bytes", "graphemes", "tokens", "words")))),
+        ranked("words", facts.word_frequencies(docs, None, keep), F.col("token")),
+        ranked("ngrams", grams, F.col("gram")),
+        ranked("cooccurrence", facts.word_cooccurrence(docs, window, None, keep), F.concat_ws(" ", "a", "b")),
+        ranked("repetition", grams.where("count >= 2"), F.col("gram")),
+        ranked("duplicate_sentences", sentences, F.col("sentence")),
+        scalars("display", display),
+        scalars("safety", profile.safety(docs).agg(*total(("unpaired_surrogates", "control_chars", "invisible_chars")))),
+        scalars("fingerprint", prints.agg(F.count(F.lit(1)).alias("fingerprints"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

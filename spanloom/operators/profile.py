@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import kernels, text
+from spanloom.functions import kernels, text, ucd
 
 from .facts import char_ngrams
 
@@ -18,13 +18,13 @@ def summary(docs: DataFrame) -> DataFrame:
 def general_categories(docs: DataFrame) -> DataFrame:
     """(category, count) over all code points: characters are counted first, then named."""
     chars = docs.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    return chars.groupBy(kernels.general_category(F.col("c")).alias("category")).agg(F.sum("n").alias("count"))
+    return chars.groupBy(ucd.of(F.col("c"), "General_Category").alias("category")).agg(F.sum("n").alias("count"))
 
 
 def char_classes(docs: DataFrame, name: str) -> DataFrame:
     """(value, count) of script or another character property over all code points."""
     chars = docs.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    value = kernels.script(F.col("c")) if name == "script" else kernels.char_property(F.col("c"), name)
+    value = ucd.of(F.col("c"), name) if name in ("script", "script_extensions", *ucd.CLASSES) else kernels.char_property(F.col("c"), name)
     return chars.groupBy(value.alias("value")).agg(F.sum("n").alias("count"))
 
 
@@ -49,8 +49,7 @@ def integrity(docs: DataFrame) -> DataFrame:
 
 def normalization_flags(docs: DataFrame) -> DataFrame:
     """doc_id, is_nfc, is_nfd, is_nfkc, is_nfkd."""
-    flags = [(kernels.normalize(F.col("text"), form) == F.col("text")).alias(f"is_{form.lower()}") for form in ("NFC", "NFD", "NFKC", "NFKD")]
-    return docs.select("doc_id", *flags)
+    return docs.select("doc_id", kernels.normal_forms(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 def compare_profiles(left: DataFrame, right: DataFrame, sizes: tuple[int, ...] = (2, 3), k: int = 50) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.tokens import tokens
+from spanloom.sources.shared import shared_dir
 
 
 def word_counts(stream: DataFrame, keep: str = "word-like") -> DataFrame:
@@ -17,8 +16,7 @@ def word_counts(stream: DataFrame, keep: str = "word-like") -> DataFrame:
 
 def drain(spark: SparkSession, counts: DataFrame, name: str) -> DataFrame:
     """Run an aggregated stream over what its source holds now and return the final table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spanloom-stream-')}"
-    path = f"{shared.rstrip('/')}/stream-{name}"
+    path = f"{shared_dir(spark)}/stream-{name}"
 
     def keep_last(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/result")
@@ -26,3 +24,10 @@ def drain(spark: SparkSession, counts: DataFrame, name: str) -> DataFrame:
     query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/log").foreachBatch(keep_last).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{path}/result")
+
+
+def variant_counts(stream: DataFrame, keep: str = "word-like") -> DataFrame:
+    """Running (key, form, count) of a stream of texts: what a variant index is made of."""
+    from spanloom.operators.tokens import case_fold
+
+    return tokens(stream.select("text"), keep).groupBy(case_fold(F.col("raw")).alias("key"), F.col("raw").alias("form")).agg(F.count(F.lit(1)).alias("count"))

@@ -42,7 +42,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[6]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     sf = sys.argv[1]
     con = duck(sf)
@@ -54,7 +54,7 @@ if __name__ == "__main__":
             continue
         t = time.time()
         try:
-            said = compare(spark, con, sf, q, sqls[name]) if name in sqls else f"rows {q(spark, sf).count()}"
+            said = compare(spark, con, sf, q, sqls[name]) if name in sqls else f"rows {len(q(spark, sf).collect())}"
         except Exception as e:
             said = f"ERROR {str(e)[:400]}"
-        print(f"{name}: {said or 'equal'} ({time.time() - t:.1f} s)", flush=True)
+        print(f"\n{name}: {said or 'equal'} ({time.time() - t:.1f} s)", flush=True)

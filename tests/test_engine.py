@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions import kernels, text
+from spanloom.functions import kernels, protocol, text
 from spanloom.operators import diff, facts, fingerprint, packs, tokens, variants
 from spanloom.sources import documents
 
@@ -64,7 +64,7 @@ def test_scans(spark, odd):
 
 
 def test_envelopes_round_trip(spark, odd):
-    back = odd.where("text is not null").select("text", text.decode_envelope(text.encode_envelope(F.col("text"))).alias("back")).collect()
+    back = odd.where("text is not null").select("text", protocol.decode_envelope(protocol.encode_envelope(F.col("text"))).alias("back")).collect()
     assert all(r.text == r.back for r in back)
 
 

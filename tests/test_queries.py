@@ -15,6 +15,6 @@ def con(sf_dir):
 def test_query(spark, con, sf_dir, name):
     query, sql = catalog.queries()[name], catalog.oracle_sql().get(name)
     if sql is None:
-        assert query(spark, sf_dir).count() > 0
+        assert len(query(spark, sf_dir).collect()) > 0  # all columns, which a count would leave out
     else:
         assert compare(spark, con, sf_dir, query, sql) is None
