@@ -295,10 +295,14 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, all columns, without a shuffle.
-
-    The same segments and search as ``score_documents``, held in memory per chunk: each row is
-    judged where it is read, so rows that share an id are judged apart.
+    """Rows of ``docs`` that hold no window of a test item, all columns, without a shuffle.
+
+    One occurrence is enough to drop a row, however long its text: the share of hit words only
+    decides the column ``contaminated`` of ``score_documents``.  Null and empty texts have no
+    words and stay, as do all rows if there are no items; an empty table stays empty; no column
+    is renamed or looked at but the text.  The same segments and search as ``score_documents``,
+    held in memory per chunk: each row is judged where it is read, so rows that share an id are
+    judged apart and repeated rows alike.
     """
     blocks = read_queries(items, "item_id", "text", window)
     vocabulary = _vocabulary(blocks)
@@ -308,8 +312,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
             for part in kernels.chunks(batch, text):
                 words = Words(part.column(part.schema.get_field_index(text)), ALNUM, lower=True)
                 n_hit, _ = _digest(Segment.of(words, vocabulary), blocks)
-                yield part.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= words.count))))
+                yield part.filter(pa.array(n_hit == 0))
 
     return docs.mapInArrow(run, docs.schema)
-
-

@@ -26,13 +26,25 @@ def test_decontamination(spark, odd, odd_rows, small, empty, sf_dir):
     for block in (decontaminate.BLOCK_WORDS, 20):
         assert both(tuple(r) for r in decontaminate.score_documents(odd, table, block_words=block).collect()) == want
     kept = {r.doc_id for r in decontaminate.clean_documents(odd, table).collect()}
-    assert kept == {r[0] for r in want if not r[5]}
+    assert kept == {r[0] for r in want if not r[2]}
     assert decontaminate.score_documents(empty, table).count() == 0
     assert {r.n_hit for r in decontaminate.score_documents(odd, table.limit(0)).collect()} == {0}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert both(tuple(r) for r in queries.op8_decontamination(spark, sf_dir).collect()) == both(brute.decontamination(small[1], bench))
 
 
+def test_a_short_passage_in_a_long_text_is_dropped(spark):
+    words = [f"w{i}" for i in range(2000)]
+    item = " ".join(f"q{i}" for i in range(40))
+    passage = item.split()[9:22]
+    rows = [(1, " ".join(words[:1000] + passage + words[1000:])), (2, " ".join(words)), (3, " ".join(words + passage[:-1])), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()} == {2, 3, 4, 5}
+    scored = {r.doc_id: r for r in decontaminate.score_documents(docs, items).collect()}
+    assert scored[1].n_hit == 13 and not scored[1].contaminated
+
+
 def test_phrase_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a x b y c"), (3, "c b a")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
