@@ -4,25 +4,23 @@ Texts are handled as UTF-8 bytes in chunks of bounded size, so memory does not f
 batch size.  A word is a maximal run of word bytes; which bytes are word bytes is given as a
 table of 256 flags (for UTF-8, bytes from 0x80 are parts of non-ASCII code points).
 
-Word hashes are polynomial in the byte values (each byte mapped to a fixed random 64-bit
-number) modulo 2**64 and finished with a mixer; k-gram hashes are polynomial in the word
-hashes.  Both come from one prefix sum, without a Python loop over words.
+Equal words of a chunk are found by their bytes (a dictionary), and each distinct word is hashed
+by BLAKE2b, so no structure of a word can bring about a collision.  A run of words is hashed as a
+tree: the hash of 2, 4, 8, ... words mixes those of its halves, and a run of any length joins
+such parts in order.  Nothing in it is linear, and there is no Python loop over words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-SECOND_BASE = np.uint64(0xA0761D6478BD642F)
+JOIN = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of [^\x20\x09-\x0D]+
 NOT_SPACE = np.ones(256, bool)
@@ -33,27 +31,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse."""
-    have = _powers.get((int(base), inverse))
-    if have is None or len(have) < n:
-        b = pow(int(base), -1, 2**64) if inverse else int(base)
-        size = 1 << max(16, (n - 1).bit_length())
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        filled = 1
-        with np.errstate(over="ignore"):
-            while filled < size:
-                step = min(filled, size - filled)
-                out[filled : filled + step] = out[:step] * np.uint64(pow(b, filled, 2**64))
-                filled += step
-        have = _powers[(int(base), inverse)] = out
-    return have[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (murmur3)."""
     with np.errstate(over="ignore"):
@@ -64,6 +41,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what ``a`` and ``b`` are hashes of, in this order."""
+    with np.errstate(over="ignore"):
+        return mixed(a * JOIN + b)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -100,7 +83,8 @@ class Words:
     """Words of the texts of one chunk.
 
     start, end: byte range of each word in ``raw``; doc: its row; first: index of each row's
-    first word (rows + 1 entries); hash: 64-bit hash of each word.
+    first word (rows + 1 entries); term: number of each word among the distinct ones, which are
+    ``terms``; hash: 64-bit hash of each word.
     """
 
     def __init__(self, column: pa.Array, is_word: np.ndarray, lower: bool = False, hashes: bool = True):
@@ -123,32 +107,50 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
+        self._trees: dict[int, list[np.ndarray]] = {}
         if hashes:
-            with np.errstate(over="ignore"):
-                value = BYTE_VALUE[raw] * powers(BASE, len(raw))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-                word = (total[self.end] - total[self.start]) * powers(BASE, len(raw) + 1, True)[self.start]
-                self.hash = mixed(word + (self.end - self.start).astype(np.uint64))
-
-    def grams(self, k: int, base: np.uint64 = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
+            at = np.concatenate([[0], np.cumsum(self.end - self.start)])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(at), pa.py_buffer(raw[flag])])
+            coded = packed.dictionary_encode()
+            self.terms = coded.dictionary
+            self.term = coded.indices.to_numpy().astype(np.int64)
+            digests = b"".join(blake2b(t, digest_size=16).digest() for t in self.terms.to_pylist())
+            self._halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+            self.hash = self._halves[self.term, 0]
+
+    def _tree(self, top: int, half: int) -> list[np.ndarray]:
+        """Hashes of the 1, 2, 4, ... 2**top words from each word on (less words: no meaning)."""
+        levels = self._trees.setdefault(half, [self._halves[self.term, half]])
+        while len(levels) <= top:
+            below, step = levels[-1], 1 << (len(levels) - 1)
+            far = np.zeros_like(below)
+            far[:-step] = below[step:]
+            levels.append(joined(below, far))
+        return levels
+
+    def grams(self, k: int, half: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they lie in one row."""
         n = len(self.start)
-        if n < k:
-            return np.zeros(n, np.uint64), np.zeros(n, bool)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * powers(base, n), dtype=np.uint64)])
-            out = np.zeros(n, np.uint64)
-            out[: n - k + 1] = mixed((total[k:] - total[:-k]) * powers(base, n, True)[: n - k + 1])
-        inside = np.zeros(n, bool)
-        inside[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]
+        inside, out = np.zeros(n, bool), np.zeros(n, np.uint64)
+        if n >= k:
+            at = np.arange(n - k + 1)
+            inside[: n - k + 1] = self.doc[at] == self.doc[k - 1 :]
+            out[: n - k + 1] = self.span_hash(at, at + k, half)
         return out, inside
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray, base: np.uint64 = WORD_BASE) -> np.ndarray:
-        """Hash of the words start..end (exclusive) for each pair."""
-        with np.errstate(over="ignore"):
-            n = len(self.start)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * powers(base, n), dtype=np.uint64)])
-            return mixed((total[end] - total[start]) * powers(base, n + 1, True)[start] + (end - start).astype(np.uint64))
+    def span_hash(self, start: np.ndarray, end: np.ndarray, half: int = 0) -> np.ndarray:
+        """Hash of the words start..end (exclusive) for each pair; ``half`` 0 and 1 are independent."""
+        length = end - start
+        out = mixed(length.astype(np.uint64) ^ JOIN)
+        if not len(length):
+            return out
+        top = int(length.max(initial=1)).bit_length() - 1
+        levels, at = self._tree(top, half), start.astype(np.int64)
+        for j in range(top, -1, -1):
+            has = np.flatnonzero(length >> j & 1)
+            out[has] = joined(out[has], levels[j][at[has]])
+            at[has] += 1 << j
+        return out
 
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
