@@ -7,14 +7,16 @@
 2. Compaction.  One aggregation per node gives its documents' range and whether all its
    occurrences share one incoming and one outgoing edge.  Nodes of one document only are
    dropped.  Where each of two neighbours has only the edge between them, both occur in
-   the same documents: such edges join into nonbranching paths, whose whole span is judged by
-   the least document of any of its nodes.
-3. Verification.  Windows of repeated anchors that leave their path (at branches and ends) are
-   looked up by a 128-bit hash of their words, with document and word number as coordinates;
-   a window is repeated if the least document with these words is a smaller one.
+   the same documents: such edges join into nonbranching paths, and every document of a path has
+   its whole span.
+3. Verification.  Spans of paths, and windows of repeated anchors that leave their path (at
+   branches and ends), are looked up by a 128-bit hash of all their words, with document and word
+   number as coordinates; one is repeated if the least document with these words is a smaller
+   one.  Nothing is removed on the graph's word alone.
 
 Joins are equi-joins on hashes with the counted side aggregated first, so a common passage
-costs as many rows as it has occurrences.  Texts move in two shuffles by row; no group is
+costs as many rows as it has occurrences; the counted side of the last join is a stored table, so
+that the rows of a very common window can be dealt to several tasks.  Texts move in two shuffles by row; no group is
 collected beyond the word numbers of one document.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .kernels import NOT_SPACE, SECOND_BASE, Words
+from .kernels import NOT_SPACE, Words
 from .staging import discard, stage
 
 WINDOW = 50
@@ -89,10 +91,10 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
         anchors.groupBy("node")
         .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("came").alias("c0"), F.max("came").alias("c1"), F.min("went").alias("w0"), F.max("went").alias("w1"))
         .where("lo < hi")
-        .select("node", "lo", (F.expr("c0 = c1 and c0 <> 0")).alias("one_in"), (F.expr("w0 = w1 and w0 <> 0")).alias("one_out"))
+        .select("node", (F.expr("c0 = c1 and c0 <> 0")).alias("one_in"), (F.expr("w0 = w1 and w0 <> 0")).alias("one_out"))
     )
-    mark = F.struct("at", (F.col("lo") < F.col("doc")).alias("later"), "one_in", "one_out")
-    return anchors.select("rid", "doc", "at", "node").join(nodes, "node").groupBy("rid").agg(F.collect_list(mark).alias("marks"))
+    mark = F.struct("at", "one_in", "one_out")
+    return anchors.select("rid", "at", "node").join(nodes, "node").groupBy("rid").agg(F.collect_list(mark).alias("marks"))
 
 
 def path_spans(at: np.ndarray, doc: np.ndarray, one_in: np.ndarray, one_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def path_spans(at: np.ndarray, doc: np.ndarray, one_in: np.ndarray, one_out: np.
 
 
 def candidate_windows(marked: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Judged path spans (h1 null) and the windows left to look up, of (rid, doc, text, marks) rows."""
+    """Spans of paths and the windows outside them, with hashes to look them up by, of (rid, doc, text, marks) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +119,7 @@ def candidate_windows(marked: DataFrame, window: int = WINDOW, k: int = K) -> Da
                 local = flat.field(0).to_numpy().astype(np.int64)
                 order = np.lexsort((local, owner))
                 owner, at = owner[order], words.first[owner[order]] + local[order]
-                later, one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False)[order] for i in (1, 2, 3))
+                one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False)[order] for i in (1, 2))
                 a, b = path_spans(at, owner, one_in, one_out)
                 long = at[b] + k - at[a] >= window
                 a, b = a[long], b[long]
@@ -126,21 +128,15 @@ def candidate_windows(marked: DataFrame, window: int = WINDOW, k: int = K) -> Da
                 held = kernels.cover(n, low, at + 1) & starts
                 held &= ~kernels.cover(n, at[a], at[b] + k - window + 1)
                 look = np.flatnonzero(held)
-                a, b = a[later[a]], b[later[a]]
-                doc = np.concatenate([owner[a], words.doc[look]]).astype(np.int64)
-                begin = np.concatenate([at[a], look]) - words.first[doc]
-                h1, _ = words.grams(window)
-                h2, _ = words.grams(window, SECOND_BASE)
-                none = np.concatenate([np.ones(len(a), bool), np.zeros(len(look), bool)])
-                fill = np.zeros(len(a), np.int64)
+                begin = np.concatenate([at[a], look])
+                end = np.concatenate([at[b] + k, look + window])
+                doc = words.doc[begin]
                 yield pa.record_batch(
                     [
                         part.column(0).take(pa.array(doc)),
                         part.column(1).take(pa.array(doc)),
-                        pa.array(np.concatenate([fill, h1[look].view(np.int64)]), mask=none),
-                        pa.array(np.concatenate([fill, h2[look].view(np.int64)]), mask=none),
-                        pa.array(begin.astype(np.int32)),
-                        pa.array((begin + np.concatenate([at[b] + k - at[a], np.full(len(look), window)])).astype(np.int32)),
+                        *[kernels.signed(words.span_hash(begin, end, half)) for half in (0, 1)],
+                        *[pa.array((x - words.first[doc]).astype(np.int32)) for x in (begin, end)],
                     ],
                     names=["rid", "doc", "h1", "h2", "start", "stop"],
                 )
@@ -158,10 +154,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     marked = known.join(repeated_anchors(anchors).hint("shuffle_hash"), "rid").select("rid", "doc", "text", "marks")
     found = stage(candidate_windows(marked, window, k), "windows")
     discard(docs.sparkSession, anchors)
-    look = found.where("h1 is not null")
-    least = look.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
-    hits = look.join(least, ["h1", "h2"]).where("doc > lo").select("rid", "start", "stop")
-    return found.where("h1 is null").select("rid", "start", "stop").unionAll(hits)
+    least = found.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
+    return found.join(stage(least, "repeated"), ["h1", "h2"]).where("doc > lo").select("rid", "start", "stop")
 
 
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
