@@ -12,8 +12,9 @@ Join.  Texts with one shingle set form a class, stood for by its least document.
 share a band (``rows`` coordinates) are candidates.  In a bucket all members are first
 compared to the least one.  Classes of buckets that then still hold several components are
 joined exactly: two similar sets share one of their rarest shingles (prefix filter), while
-sets that differ much have theirs alone.  Classes that share such shingles form a family, and
-the members outside its largest component are compared to all of other components.
+sets that differ much have theirs alone.  Members of a shingle that few have are paired; those
+of a common one form families with all they share such shingles with, and the members outside
+a family's largest component are compared to all of other components.
 Candidates are verified on their shingle sets (32-bit fingerprints of the distinct shingles),
 and components of verified links are the classes returned.
 """
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import kernels
 from .components import components
@@ -36,7 +38,9 @@ from .staging import discard, stage
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-SALTS = 16
+#: Keys of the exact join with more members are joined by families, in parts of about so many rows.
+SMALL = 32
+PART = 1024
 SKETCH = 1024
 
 _SIGNATURES = "doc bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"
@@ -167,11 +171,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b), enough to connect all similar classes, from (key, x, n) bucket members."""
-    pivot = members.groupBy("key").agg(F.min_by("n", "x").alias("pn"), F.min("x").alias("p"))
-    found = stage(_verified(_pairs(members.join(pivot, "key"), similarity), sets, similarity), "links")
+    spark = members.sparkSession
+    # a stored side lets Spark deal the members of a very common bucket to several tasks
+    pivot = stage(members.groupBy("key").agg(F.min_by("n", "x").alias("pn"), F.min("x").alias("p")), "pivots")
+    found = stage(_contracted(_verified(_pairs(members.join(pivot, "key"), similarity), sets, similarity)), "links")
     rest = _open(members, found).select(F.col("x").alias("doc")).distinct()
-    shared = stage(_rare_members(stage(sets.join(rest, "doc", "left_semi"), "rest"), similarity), "rare")
-    return found.unionAll(stage(_across(_families(_open(shared, found)), sets, similarity), "links"))
+    left = stage(sets.join(rest, "doc", "left_semi"), "rest")
+    shared = stage(_rare_members(left, similarity), "rare")
+    # keys of few members: their pairs are at most SMALL / 2 for each member
+    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sized = stage(_open(shared, found).join(size, "key"), "sized")
+    near = stage(_verified(_small_pairs(sized.where(F.col("size") <= SMALL), similarity), sets, similarity), "links")
+    both = found.unionAll(near)
+    large = _open(sized.where(F.col("size") > SMALL).select("key", "x", "n"), both)
+    out = both.unionAll(stage(_across(_families(large), sets, similarity), "links"))
+    discard(spark, pivot, left, shared, sized)
+    return out
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The same components by fewer links: each b keeps its least a, which is linked to b's other a's.
+
+    A member has at most one pivot for each band, and many members share theirs, so the links
+    between pivots fall together.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    both = F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
+    return edges.withColumn("m", least).select(F.explode(both).alias("e")).select("e.*").where("a <> b").distinct()
+
+
+def _small_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs within keys of at most ``SMALL`` members, of different components and of sizes that allow the similarity."""
+    other = members.select("key", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+    rows = members.join(other, "key").where("x > p and label <> pl")
+    return _pairs(rows, similarity)
 
 
 def _rare_members(sets: DataFrame, similarity: float) -> DataFrame:
@@ -210,27 +243,30 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _families(members: DataFrame) -> DataFrame:
-    """(family, x, label, minor): members joined through common buckets, and whether they are outside the family's largest component."""
+    """(family, x, label, minor, parts): members joined through common keys, whether they are outside the family's largest component, and the parts that its work is cut into."""
     members = stage(members, "buckets")
     heads = members.groupBy("key").agg(F.min("x").alias("p"))
-    family = components(members.join(heads, "key").select("x", "p"), "x", "p").withColumnsRenamed({"node": "x", "label": "family"})
+    family = components(_contracted(members.join(heads, "key").where("x <> p").select(F.col("p").alias("a"), F.col("x").alias("b")).distinct())).withColumnsRenamed({"node": "x", "label": "family"})
     rows = members.select("x", "label").distinct().join(family, "x")
-    major = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("major"))
-    return stage(rows.join(major, "family").select("family", "x", "label", (F.col("label") != F.col("major")).alias("minor")), "families")
+    sizes = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    whole = sizes.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    out = stage(rows.join(whole, "family").select("family", "x", "label", (F.col("label") != F.col("major")).alias("minor"), "parts"), "families")
+    discard(out.sparkSession, members)
+    return out
 
 
 def _across(families: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between the components of a family: each minor member against the members of other components.
 
-    Sets are compared inside the join, which makes no row but a link; ``SALTS`` parts share the
-    work of one family.
+    Sets are compared inside the join, which makes no row but a link; a family's members are
+    dealt to as many parts as its size asks for, and each minor one meets them all.
     """
-    n = max(2 * SALTS, int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = families.join(sets.withColumnRenamed("doc", "x"), "x")
-    salt = F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")
-    one = rows.select("family", salt.alias("salt"), F.col("x").alias("a"), F.col("label").alias("la"), F.col("prints").alias("pa"), F.col("odd").alias("oa"))
-    two = rows.where("minor").select("family", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("x").alias("b"), F.col("label").alias("lb"), F.col("prints").alias("pb"), F.col("odd").alias("ob"))
-    one, two = one.repartition(n, "family", "salt").alias("l"), two.repartition(n, "family", "salt").alias("r")
+    part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")
+    one = rows.select("family", part.alias("part"), F.col("x").alias("a"), F.col("label").alias("la"), F.col("prints").alias("pa"), F.col("odd").alias("oa"))
+    two = rows.where("minor").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("b"), F.col("label").alias("lb"), F.col("prints").alias("pb"), F.col("odd").alias("ob"))
+    one, two = one.repartition(n, "family", "part").alias("l"), two.repartition(n, "family", "part").alias("r")
     na, nb = F.size("pa"), F.size("pb")
     # cheapest first; the sketches bound the difference of the sets, which similarity bounds too
     apart = F.bit_count(F.get("oa", F.lit(0)).bitwiseXOR(F.get("ob", F.lit(0))))
@@ -242,7 +278,7 @@ def _across(families: DataFrame, sets: DataFrame, similarity: float) -> DataFram
         & (apart * (1 + similarity) <= (1 - similarity) * (na + nb) + 1e-9)
         & (F.size(F.array_intersect("pa", "pb")) * (1 + similarity) >= similarity * (na + nb) - 1e-9)
     )
-    return one.join(two, (F.col("l.family") == F.col("r.family")) & (F.col("l.salt") == F.col("r.salt")) & near).select("a", "b")
+    return one.join(two, (F.col("l.family") == F.col("r.family")) & (F.col("l.part") == F.col("r.part")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     weigh in the signatures.  A text of fewer words is one shingle; texts without words (null,
     empty, blank) are copies of each other.  Rows without an id are not compared and get a null
     class; rows that share an id share a class; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored.  Very long texts take part whole.
     """
     spark = docs.sparkSession
     lean = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))

@@ -1,31 +1,16 @@
-"""Tables written between jobs, in the folder that the cluster shares.
+"""Tables written between jobs, in the folder that the cluster shares (``sources.shared``).
 
 A staged table cuts lineage the way ``checkpoint()`` does, survives lost executors
-and is columnar.  The folder is ``spark.checkpoint.dir`` of the session; where that is
-unset (tests, a laptop) one temporary folder of this process is used.
+and is columnar.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="spanloom-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
+from spanloom.sources.shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
