@@ -190,6 +190,42 @@ def test_html_article_over_sibling_containers():
     assert html_text.main_text(page).split("\n").count("x") <= 3 and html_text.main_text(table).split("\n").count("x") <= 3
 
 
+def test_html_clustering_decides():
+    """Ratio, smoothing and threshold select the lines, on pages with article elements and without."""
+    para = lambda word, n: f"<p>{(word + ' text ') * n}</p>"
+    body = "<ul>" + "<li><a>item</a></li>" * 12 + "</ul><h1>Title here</h1>" + para("some", 60) + para("more", 80) + "<p>End.</p>" + "<div><a>one</a></div>" * 12
+    whole = ["Title here", ("some text " * 60).strip(), ("more text " * 80).strip(), "End."]
+    for page in (f"<body>{body}</body>", f"<body><div>{body}</div></body>", f"<body><article>{body}</article></body>"):
+        def cut(sigma=html_text.SIGMA, threshold=html_text.THRESHOLD, page=page):
+            p = html_text.Lines()
+            p.feed(page)
+            p.close()
+            return html_text.content_lines(p.lines, p.elements, p.named, p.hidden, sigma, threshold)
+
+        usual = cut()
+        assert [x for x in usual if x in whole] == whole and usual.count("item") <= 6 and usual.count("one") <= 6
+        assert len(cut(threshold=0)) == 28 > len(usual)
+        assert len(cut(threshold=1.5)) < len(usual) and cut(threshold=3, sigma=0.34) == whole[1:3] and cut(sigma=0.34) != usual
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    def took(n):
+        page = "<div class='menu'>x" * n + "<p>" + "some text " * 50 + "</p>" + "</i>" * n
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(16_000) < 8 * max(took(4000), 0.05)
+
+
+def test_html_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a text</p>", "n", 3, "t")], "page_id long, url string, html string, name string, n_chars int, text string")
+    assert [tuple(r) for r in html_text.extract(rows).collect()] == [(1, "u", "a text", 6)]
+
+
 def test_html_articles_whole(spark, sf_dir):
     import html
     import re
