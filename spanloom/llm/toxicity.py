@@ -1,16 +1,17 @@
 """Toxicity by compression distance: how much shorter do toxic and ordinary dictionaries make a window?
 
-Two zstandard dictionaries are trained on labelled text.  The ordinary one is trained on
-windows of ordinary documents.  The toxic one is trained on the marked passages of toxic
-documents: words with a byte fragment that is much commoner there than in ordinary ones and
-that stands in many different contexts (a fragment that only copies of one document share has
-few).  The toxic compressor has the ordinary content too, so the gain of a window, its length
-under the ordinary dictionary less its length under the toxic one, is 0 for ordinary language
-and positive where toxic wording is matched.
-
-Gains of a text's windows are compared with thresholds calibrated on labelled documents that
-did not train the dictionaries (the gains that 0.5 % and 0.1 % of ordinary windows reach), and
-a logistic curve over counts and means of the gains gives the score.
+Two zstandard dictionaries are trained on labelled text by zstandard's own trainer, one on windows
+of ordinary documents, one on the passages of toxic documents that make them so.  A label holds for
+a whole document, so those passages must be found first: words with a byte fragment that is much
+commoner in toxic documents than in ordinary ones and that stands in many different contexts (a
+fragment that only copies of one document share has few).  The toxic compressor has the ordinary
+content too, so the gain of a window, its length under the ordinary dictionary less its length
+under the toxic one, is 0 for ordinary language and positive where toxic wording is matched.
+
+Two thresholds are calibrated on labelled documents that did not train the dictionaries.  Windows
+whose gain reaches the first one count; a document is toxic if the sum of their gains, over the
+square root of its number of windows (a longer text has more chance matches), reaches the second.
+The score is that evidence against the threshold: 0.5 where they are equal.
 
 Bounds: at most ``DICTIONARY_DOCS`` documents a class and ``CALIBRATION_DOCS`` in all are
 fitted on, the first by hash of their id, none over ``TRAIN_CHARS`` characters.  Every text is
@@ -37,6 +38,11 @@ CALIBRATION_DOCS = 4000
 TRAIN_CHARS = 20_000
 WINDOW_WORDS = 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+#: Segments of the toxic dictionary's trainer and the length of what it counts: insults are short.
+TOXIC_SEGMENT, TOXIC_GRAM = 32, 6
+#: What a clean document called toxic weighs against a toxic one missed, in calibration.
+CLEAN_WEIGHT = 4
+MAX_GAIN = 6
 FRAGMENT = 5
 SIGNIFICANT = 20.0
 LEVEL = 9
@@ -86,25 +92,16 @@ def marked_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [b" " + w + b" " for t in toxic for x in t.lower().split() if not marks.isdisjoint(_fragments(w := x.strip(_TRIM)))]
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
     """Content of a dictionary trained on the samples; too few of them are the content themselves."""
     if not samples:
         return b""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def _toxic_content(marked: list[bytes]) -> bytes:
-    """A trained dictionary of marked words; words that the trainer left out fill the rest, rarest first."""
-    content = _trained(marked, TOXIC_BYTES // 2)
-    for word, _ in Counter(marked).most_common():
-        if len(content) + len(word) <= TOXIC_BYTES and word not in content:
-            content = word + content
-    return content
-
-
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     if not content:
         return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
@@ -118,10 +115,12 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 @dataclass
 class Model:
+    """``threshold``: least gain of a window that counts; ``limit``: evidence of a toxic document, 0 if nothing was learned."""
+
     ordinary: bytes
     toxic: bytes
-    thresholds: tuple[int, int] = (2, 3)
-    weights: tuple[float, ...] = ()
+    threshold: int = 1
+    limit: float = 0.0
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -132,48 +131,42 @@ class Model:
         plain, other = self._pair[0].compress, self._pair[1].compress
         return np.array([len(plain(w)) - len(other(w)) for w in windows(text)] or [0], np.int64)
 
-    def features(self, gain: np.ndarray) -> list[float]:
-        low, high = self.thresholds
-        top = np.sort(gain)[::-1][:3]
-        n = len(gain)
-        return [top[0], top.mean(), (gain >= low).sum() / n**0.5, (gain >= high).sum() / n**0.5, (gain >= high).mean(), gain.mean(), np.log(n), 1.0]
-
     def score(self, text: bytes) -> float:
-        if not self.weights:
+        if not self.limit:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(self.gains(text)), self.weights), -500, 500))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last column of ``x`` is 1."""
-    mean, spread = x.mean(0), x.std(0)
-    mean[-1], spread[-1] = 0, 1
-    spread[spread == 0] = 1
-    z = (x - mean) / spread
-    w = np.zeros(x.shape[1])
-    pull = np.full(len(w), ridge)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(pull), z.T @ (p - y) + pull * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    out = w / spread
-    out[-1] = w[-1] - (w[:-1] * mean[:-1] / spread[:-1]).sum()
-    return out
+        found = evidence(self.gains(text), self.threshold)
+        return found / (found + self.limit)
+
+
+def evidence(gain: np.ndarray, threshold: int) -> float:
+    return float(gain[gain >= threshold].sum() / len(gain) ** 0.5)
+
+
+def calibrated(gains: list[np.ndarray], labels: np.ndarray) -> tuple[int, float]:
+    """The window threshold and the limit that serve the labels best: share of toxic documents found plus ``CLEAN_WEIGHT`` times that of clean ones left alone."""
+    best = (-1.0, 1, 0.0)
+    for threshold in range(1, MAX_GAIN + 1):
+        found = np.array([evidence(g, threshold) for g in gains])
+        order = np.argsort(-found, kind="stable")
+        toxic = np.cumsum(labels[order])
+        clean = np.cumsum(1 - labels[order])
+        value = toxic / labels.sum() + CLEAN_WEIGHT * (1 - clean / (1 - labels).sum())
+        last = np.append(found[order][1:] < found[order][:-1], True) & (found[order] > 0)  # equal evidence falls together
+        if last.any():
+            i = int(np.argmax(np.where(last, value, -1)))
+            below = found[order][found[order] < found[order][i]].max(initial=0.0)
+            best = max(best, (float(value[i]), threshold, float((found[order][i] + below) / 2) or float(found[order][i])))
+    return best[1], best[2]
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], calibration: list[tuple[bytes, int]]) -> Model:
-    """Dictionaries from the first two, thresholds and weights from the third; without both classes the score is 0."""
+    """Dictionaries from the first two, thresholds from the third; without both classes every score is 0."""
     plain = [w for t in ordinary for w in windows(t)]
-    model = Model(_trained(plain[:: max(1, len(plain) // 60_000)], ORDINARY_BYTES), _toxic_content(marked_words(toxic, ordinary)))
-    gains = [(model.gains(t), y) for t, y in calibration]
-    labels = np.array([y for _, y in gains])
-    if not toxic or len(set(labels.tolist())) < 2:
-        return model
-    usual = np.sort(np.concatenate([g for g, y in gains if not y]))[::-1]
-    model.thresholds = tuple(max(1, int(usual[int(len(usual) * q)]) + 1) for q in (0.005, 0.001))
-    model.weights = tuple(_logistic(np.array([model.features(g) for g, _ in gains]), labels).tolist())
+    marked = marked_words(toxic, ordinary)
+    model = Model(_trained(plain, ORDINARY_BYTES), _trained(marked, TOXIC_BYTES, k=TOXIC_SEGMENT, d=TOXIC_GRAM))
+    labels = np.array([y for _, y in calibration], np.int64)
+    if marked and 0 < labels.sum() < len(labels):
+        model.threshold, model.limit = calibrated([model.gains(t) for t, _ in calibration], labels)
     return model
 
 
@@ -221,7 +214,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     Null texts count as empty and have a score too (that of a text without gains); rows without
     an id are not held out; repeated rows have equal scores; without labels of both classes
-    every score is 0; an empty table gives an empty result; other columns are never looked at.
+    every score is 0; an empty table gives an empty result; other columns are never looked at;
+    very long texts are scored whole.
     """
     model = train(docs, labels, doc_id, text)
 

@@ -30,6 +30,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_thresholds_decide():
+    import numpy as np
+
+    gains = [np.array(g) for g in ([0, 0, 3, 0], [0, 4, 0, 5], [0, 0, 0, 0], [1, 0, 1, 0], [0, 0, 0, 1], [0, 1, 0, 0])]
+    labels = np.array([1, 1, 0, 0, 0, 0])
+    threshold, limit = toxicity.calibrated(gains, labels)
+    called = [toxicity.evidence(g, threshold) >= limit for g in gains]
+    assert called == [True, True, False, False, False, False]
+    model = toxicity.Model(b"plain words and more", b" rotten vileness ", threshold, limit)
+    for text in (b"plain words", b"rotten vileness in rotten words", b""):
+        found = toxicity.evidence(model.gains(text), threshold)
+        assert (model.score(text) >= 0.5) == (found >= limit)
+
+
 def test_odd_rows_and_empty_tables(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100, 140)] + [(None, 1), (101, None)], "doc_id long, toxic int")
     got = toxicity.score_documents(odd, labels).collect()
