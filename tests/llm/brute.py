@@ -100,3 +100,37 @@ def shingles(text, k=5):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def secret_spans(text):
+    """All spans: the base ones and those of five well-known token forms."""
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    more = (
+        ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), ("github", "gh[pousr]_[A-Za-z0-9]+", 40), ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+        ("google", "AIza[A-Za-z0-9_-]+", 39), ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    )
+    for place, (kind, pattern, least) in enumerate(more, 1):
+        found += [(m.start(), place, kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+def common_words(text, template):
+    """Length of the longest common subsequence of two word lists (one bit for each word of the template)."""
+    w, t = alnum(text), alnum(template)
+    masks = {}
+    for i, x in enumerate(t):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = row = (1 << len(t)) - 1
+    for x in w:
+        u = row & masks.get(x, 0)
+        row = (row + u | row - u) & full
+    return len(t) - row.bit_count()
+
+
+def holds(text, template):
+    """Whether the template's words stand in the text one after the other."""
+    return f" {' '.join(alnum(template))} " in f" {' '.join(alnum(text))} "
