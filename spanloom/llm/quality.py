@@ -107,13 +107,13 @@ def pattern(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.expr(" + ".join(digits))
 
 
-def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, smooth: float = 1.0) -> tuple[float, list[list[list[float]]], list[float]]:
-    """EM over vote patterns: share of good documents, P(vote | class) per rule, posterior of each pattern.
+def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, smooth: float = 1.0) -> tuple[float, list[list[list[float]]], dict[int, float]]:
+    """EM over the vote patterns seen: share of good documents, P(vote | class) per rule, posterior of each pattern.
 
     Class 1 starts as the patterns without a drop vote, class 0 as those with two.  Votes are
     independent given the class.
     """
-    digits = {p: [p // 3**i % 3 for i in range(n_rules)] for p in range(3**n_rules)}
+    digits = {p: [p // 3**i % 3 for i in range(n_rules)] for p in counts}
     # at the start two drop votes are damage, one is doubt
     good = {p: (0.97, 0.6, 0.03)[min(v.count(0), 2)] for p, v in digits.items()}
     share, table = 0.5, []
@@ -133,7 +133,7 @@ def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, smooth: float =
         moved, share = abs(new_share - share), new_share
         if moved < 1e-9:
             break
-    return share, table, [good[p] for p in range(3**n_rules)]
+    return share, table, good
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,10 +141,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
 
     Null and empty texts have no words, so they fail the base; repeated rows count as rows; in
     an empty table nothing is judged; other columns are ignored.  A document is kept if it
-    passes the base and its posterior is ``threshold`` at least.
+    passes the base and its posterior is ``threshold`` at least; documents with equal votes share
+    it; very long texts are measured whole.
     """
     seen = stage(measures(docs, doc_id, text).withColumn("pattern", pattern(rules)).withColumn("base_failed", base_failed()), "measures")
-    counted = seen.where("not base_failed").groupBy("pattern").count().collect()  # 3**len(rules) rows at most
-    _, _, posterior = fit({r["pattern"]: r["count"] for r in counted}, len(rules))
-    looked = F.get(F.from_json(F.lit(json.dumps(posterior)), "array<double>"), F.col("pattern"))
+    # a pattern is one of 3**len(rules), and those of documents that failed the base have a posterior too
+    counted = seen.groupBy("pattern").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()
+    _, _, posterior = fit({r["pattern"]: r["n"] for r in counted}, len(rules))
+    looked = F.element_at(F.from_json(F.lit(json.dumps(posterior)), "map<string,double>"), F.col("pattern").cast("string"))
     return seen.withColumn("quality", looked).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -1,7 +1,6 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Every record hashes into one of ``slots`` virtual slots (by its key; a null key hashes
-by its text).  One aggregation gives the bytes and rows of each slot.  A ``SlotMap``
+Every record hashes into one of ``slots`` virtual slots, by its key and text.  One aggregation gives the bytes and rows of each slot.  A ``SlotMap``
 assigns slots to shards: version 1 by the longest-processing-time rule over slot bytes,
 later versions by *edits* that move as few slots as the change needs.  Only the map is
 edited; a record never changes its virtual slot.
@@ -27,8 +26,8 @@ def record_size(text: Column) -> Column:
 
 
 def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
-    """Slot of a record: its key decides; records without a key are spread by text."""
-    hashed = F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("no key"), text))
+    """Slot of a record, by its key and text, so that many records of one key or without a key are spread over all slots."""
+    hashed = F.xxhash64(F.coalesce(key.cast("string"), F.lit("no key")), text)
     return F.pmod(hashed, F.lit(slots)).cast("int")
 
 
@@ -140,13 +139,14 @@ class SlotMap:
         return SlotMap(versions)
 
 
-def place(docs: DataFrame, slot_map: SlotMap, rows: list[int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``virtual_slot``, ``shard`` and ``slot``: the record's place in its shard, gapless from 0.
+def place(docs: DataFrame, slot_map: SlotMap, rows: list[int], key: str = "doc_id") -> DataFrame:
+    """Add ``shard`` and ``slot``, the record's place in its shard, gapless from 0, to rows with ``virtual_slot``.
 
     ``rows`` are the row counts per virtual slot.  A place is the rows of the shard's earlier
     virtual slots plus the rank within the own one, so the only shuffle is by virtual slot and
     no task sees a whole shard.  Rank is by key, then text checksum; rows equal in both are
-    interchangeable.  Columns of ``docs`` with these names are replaced.
+    interchangeable.  Columns of ``docs`` with these names are replaced.  Only rows equal in key
+    and text cannot be parted: they are sorted in one task, which holds none of their texts.
     """
     shards = slot_map.current
     filled: dict[int, int] = {}
@@ -157,8 +157,7 @@ def place(docs: DataFrame, slot_map: SlotMap, rows: list[int], key: str = "doc_i
     v = F.col("virtual_slot")
     order = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_first(), F.col("text_crc32"), F.col("size"))
     return (
-        docs.withColumn("virtual_slot", virtual_slot(F.col(key), F.col(text), len(shards)))
-        .withColumn("shard", slot_map.shard_of(v))
+        docs.withColumn("shard", slot_map.shard_of(v))
         .withColumn("slot", F.get(_array(first, "bigint"), v) + F.row_number().over(order) - 1)
     )
 
@@ -168,8 +167,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null under
     this law), virtual_slot, map_version.  Null texts count one byte and have the checksum of
-    the empty text; null keys are spread by text; repeated rows each get a place of their own;
-    an empty table gives an empty result; other columns are ignored.  The map is stored at
+    the empty text; records of one key and those without are spread by text; repeated rows each get
+    a place of their own; an empty table gives an empty result; other columns are ignored; a very
+    long text counts whole, and its shard gets fewer others.  The map is stored at
     ``map_path`` (default: the shared folder) and used as read back from there.
     """
     from .staging import new_path
@@ -183,9 +183,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
         F.col(key).alias("doc_id"),
         record_size(F.col(text)).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
-        F.when(F.col(key).isNull(), F.col(text)).alias("spread"),
+        virtual_slot(F.col(key), F.col(text), slots).alias("virtual_slot"),
     )
-    return place(lean, slot_map, rows, "doc_id", "spread").select(
+    return place(lean, slot_map, rows).select(
         "doc_id",
         "size",
         "text_crc32",

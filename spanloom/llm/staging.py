@@ -6,6 +6,8 @@ and is columnar.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +19,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables that stand, since lazy results may still read them, until the driver ends.
+_standing: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables that this process has staged; their readers must have finished."""
+    for path, spark in list(_standing.items()):
+        with contextlib.suppress(Exception):  # the session may be gone, with what it could delete
+            _remove(spark, path)
+        _standing.pop(path, None)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it read back."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    _standing[path] = spark
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables whose readers have all finished."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _remove(spark, folder)

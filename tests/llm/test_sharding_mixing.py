@@ -24,6 +24,16 @@ def test_bytes_are_even_where_documents_are_small(spark, sf_dir):
     assert max(load.values()) < 1.05 * min(load.values())
 
 
+def test_one_key_for_many_texts_is_spread(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else i, f"text {i}") for i in range(6000)], "doc_id long, text string")
+    got = sharding.shard_documents(docs, 8).collect()
+    load, rows = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r.size
+        rows[r.virtual_slot] += 1
+    assert max(load.values()) < 1.01 * min(load.values()) and max(rows.values()) < 12
+
+
 def test_map_versions(spark, tmp_path):
     size = [(i * 37) % 101 + 1 for i in range(256)]
     one = sharding.SlotMap.balanced(size, 8)
@@ -52,6 +62,12 @@ def test_schedule_is_less_than_one_block_off():
         assert done == shares
 
 
+def test_thousands_of_sources(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, f"s{i % 2500}") for i in range(5000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_bytes=10).collect()
+    assert sorted(r.mix_slot for r in got) == list(range(5000)) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+
+
 def test_phases_use_every_block_once():
     runs = mixing.phases([5, 40, 3, 1000], [Fraction(1), Fraction(2), Fraction(1, 3), Fraction(1)], 100)
     assert [sum(mixing._taken(r, r["live"].index(k)) for r in runs if k in r["live"]) for k in range(4)] == [5, 40, 3, 1000]
