@@ -23,8 +23,6 @@ def digest(value):
 
 def test_public_interchange_digests():
     """Digests that other implementations of the exchange formats publish for the same inputs."""
-    units = "A\r⁠†"  # not used by a digest below: only opened and closed
-    assert protocol.open_envelope(protocol.envelope(units)) == units
     hidden = protocol.open_envelope({"v": 1, "kind": "utf16le-base64", "base64": "QQANIGAgLiAP/tD9QgA="})
     assert digest({"profile": pack.integrity_profile(hidden)}) == "sha256:2017c5fecae79a0c4ee8aa461a89c40d6bf7d7b473fa0a57063252b0c69d4651"
 
@@ -57,7 +55,7 @@ def test_packs_of_odd_texts(spark):
         assert protocol.open_envelope(p["input"]["text"]) == r.text and p["segment"]["words"]["count"] >= len(p["segment"]["words"]["spans"])
     full = {"ngrams": {"n": 2}, "cooccurrence": {"windowSize": 3}, "includeRepetition": True, "includeDuplicateSentences": True, "includeBoundaries": True, "maxOutputBytes": 10}
     f = pack.fact_pack("One. Two. One. Two.", full | {"variants": {"canonicalKey": "nfkcCaseFold"}, "profile": {"ngrams": {"sizes": [2]}, "lengthBins": [1, 4]}, "fingerprint": {"k": 2, "window": 2}})
-    assert f["repetition"]["duplicateSentences"]["items"][0]["count"] == 1 + 1 - 0 or f["repetition"]["duplicateSentences"]["totalDuplicates"] >= 1
+    assert [(i["text"], i["count"]) for i in f["repetition"]["duplicateSentences"]["items"]] == [("One. ", 2)]
     assert f["size"]["exceedsMax"] and f["ngrams"]["words"]["totalNgrams"] == f["frequencies"]["words"]["totalTokens"] - 1
     assert f["display"]["lineBreaks"]["mandatory"] == 1 and f["display"]["bidi"]["paragraphLevel"] == 0
     with pytest.raises(ValueError, match="FULL_MODE"):
@@ -115,7 +113,6 @@ def test_fingerprint_index(spark):
     pairs = fingerprint.overlap(prints.where("doc_id = 2"), prints.where("doc_id = 1").withColumnRenamed("doc_id", "item_id")).collect()
     assert pairs[0].containment_num == pairs[0].containment_den and pairs[0].containment_back_num < pairs[0].containment_back_den
     # a plain version of the polynomial and the windows
-    words = [w for w in text.replace(" ", " | ").split("|") if w]
     words = [x for i, w in enumerate(text.split()) for x in ([" "] if i else []) + [w]]
     import xxhash
 
