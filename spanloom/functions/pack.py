@@ -118,15 +118,23 @@ def tokenize(text: str, tokenizer: str = "uax29-word", key: str = "raw", algo: s
 def scan(text: str, tokenizer: str = "uax29-word", canonicalize: str = "none", keep: str = "all", most: float | None = None, table: Skeletons | None = None, custom: Custom = None) -> list[dict]:
     """Each token with its canonical form, scripts, and whether scripts are mixed or bidi controls inside."""
     control = ucd.predicate("bidi_control")
+    known: dict[str, dict | None] = {}  # what is said of each distinct token, None for those passed over
+
+    def facts(raw: str) -> dict | None:
+        if tokenizer == "uax29-word" and keep == "word-like" and not segment.is_word_like(raw):
+            return None
+        scripts = ucd.token_scripts(raw)
+        key = canonical(raw, "raw" if canonicalize == "none" else canonicalize, table)
+        return {"raw": raw, "canonical": key, "scripts": scripts, "hasMixedScript": len(scripts) > 1, "hasBidiControls": any(control[ord(c)] for c in raw)}
+
     out: list[dict] = []
     for a, b, raw in _spans(text, tokenizer, custom):
         if most is not None and len(out) >= most:
             break
-        if tokenizer == "uax29-word" and keep == "word-like" and not segment.is_word_like(raw):
-            continue
-        scripts = ucd.token_scripts(raw)
-        key = canonical(raw, "raw" if canonicalize == "none" else canonicalize, table)
-        out.append({"spanCU": _span(a, b), "raw": raw, "canonical": key, "scripts": scripts, "hasMixedScript": len(scripts) > 1, "hasBidiControls": any(control[ord(c)] for c in raw)})
+        if raw not in known:
+            known[raw] = facts(raw)
+        if known[raw] is not None:
+            out.append({"spanCU": _span(a, b), **known[raw]})
     return out
 
 

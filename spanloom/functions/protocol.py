@@ -118,14 +118,9 @@ def encode_envelope(text: Column, prefer: str = "string", fallback: str = "utf16
     safe = ~F.rlike(text, F.lit("[\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(1, 17)) + "\\x{FFFE}\\x{FFFF}]"))
     kind = F.when(safe, prefer).otherwise(second) if prefer == "string" else F.lit(prefer)
     raw = utf16le(text)
-    # a code unit is two bytes, low first
-    codes = F.when(
-        F.octet_length(raw) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.octet_length(raw), F.lit(2)),
-            lambda i: F.conv(F.concat(F.hex(F.substring(raw, i + 1, F.lit(1))), F.hex(F.substring(raw, i, F.lit(1)))), 16, 10).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
+    pair = lambda cp: F.array(F.shiftright(cp - 0x10000, 10) + 0xD800, (cp - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+    codes = F.flatten(F.transform(chars, lambda cp: F.when(cp < 0x10000, F.array(cp)).otherwise(pair(cp))))
     return F.when(
         text.isNotNull(),
         F.struct(
