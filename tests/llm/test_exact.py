@@ -143,6 +143,16 @@ def test_secrets(spark, odd, odd_rows, empty, sf_dir):
     assert {"github", "pem"} <= kinds
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    import sys
+
+    sys.path.insert(0, "tests")
+    from compare import compare, duck
+
+    assert compare(spark, duck(sf_dir), sf_dir, queries.queries()[name], queries.oracle_sql()[name]) is None
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.needs_scan(secrets.trigram_query("[0-9a-f]+"))
