@@ -134,3 +134,28 @@ def common_words(text, template):
 def holds(text, template):
     """Whether the template's words stand in the text one after the other."""
     return f" {' '.join(alnum(template))} " in f" {' '.join(alnum(text))} "
+
+
+def posteriors(votes, rounds=200):
+    """EM over documents one by one: ``votes`` are lists of 0 (drop), 1 (abstain), 2 (keep); the posterior of each document."""
+    import math
+
+    good = [(0.97, 0.6, 0.03)[min(v.count(0), 2)] for v in votes]
+    share = 0.5
+    for _ in range(rounds):
+        mass = [1.0, 1.0]
+        table = [[[1.0] * 3 for _ in range(2)] for _ in votes[0]]
+        for v, p in zip(votes, good, strict=True):
+            for c, w in ((0, 1 - p), (1, p)):
+                mass[c] += w
+                for i, d in enumerate(v):
+                    table[i][c][d] += w
+        new = mass[1] / sum(mass)
+        rate = [[[x / sum(t[c]) for x in t[c]] for c in range(2)] for t in table]
+        for k, v in enumerate(votes):
+            odds = math.log(new / (1 - new)) + sum(math.log(rate[i][1][d] / rate[i][0][d]) for i, d in enumerate(v))
+            good[k] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        if abs(new - share) < 1e-9:
+            break
+        share = new
+    return good

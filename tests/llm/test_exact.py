@@ -116,6 +116,19 @@ def test_quality_keeps_clean_and_drops_damaged(spark, sf_dir):
     assert sum(r.kept == bool(labels[r.doc_id]) for r in rows) >= 0.95 * len(rows)
 
 
+def test_posteriors_against_brute_force(spark, sf_dir):
+    rows = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    passed = [r for r in rows if not r.base_failed]
+    votes = [[r.pattern // 3**i % 3 for i in range(len(quality.RULES))] for r in passed]
+    for r, v in zip(passed, votes, strict=True):
+        # the votes themselves, for three of the rules
+        assert v[1] == (0 if r.n_symbols > 0.2 * r.n_words else 2 if r.n_symbols <= 0.05 * r.n_words else 1)
+        assert v[3] == (0 if r.n_repeat_words > 0.3 * r.n_words else 2 if r.n_repeat_words <= 0.15 * r.n_words else 1)
+        assert v[4] == (0 if r.n_dup_lines > 0.25 * r.n_lines else 2 if r.n_dup_lines <= 0.1 * r.n_lines else 1)
+    for r, p in zip(passed, brute.posteriors(votes), strict=True):
+        assert abs(r.quality - p) < 1e-6 and r.kept == (r.quality >= 0.5)
+
+
 def test_em_learns_accuracies():
     share, table, good = quality.fit({8: 900, 0: 80, 2: 10, 6: 10}, 2)
     assert 0.8 < share < 0.99 and good[8] > 0.9 and good[0] < 0.1
