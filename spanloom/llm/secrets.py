@@ -17,7 +17,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, stage
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,9 @@ MORE = (
 RULES = BASE + MORE
 
 #: At most so many alternatives and class members are spelled out; beyond that a part counts as unknown.
-MAX_ALTERNATIVES, MAX_CLASS = 64, 8
+MAX_ALTERNATIVES, MAX_CLASS, MAX_GRAMS = 64, 8, 4
+#: Up to so many candidate rows (a hash and a flag for each rule) are broadcast; beyond that they and the texts meet by a shuffle.
+BROADCAST_ROWS = 200_000
 GAP = "\0"
 
 
@@ -78,9 +80,15 @@ def _strings(parsed: _parser.SubPattern | list) -> list[str]:
     return out
 
 
+def _grams(run: str) -> list[str]:
+    """At most ``MAX_GRAMS`` trigrams that cover a run end to end as far as they reach: the ones between would hardly narrow the search."""
+    starts = sorted({*range(0, len(run) - 2, 3), len(run) - 3}) if len(run) >= 3 else []
+    return [run[i : i + 3] for i in starts[:: -(-len(starts) // MAX_GRAMS) or 1]]
+
+
 def trigram_query(regex: str) -> list[frozenset[str]]:
     """The OR of ANDs of trigrams that every match holds; an empty set asks for nothing (scan all)."""
-    found = {frozenset(run[i : i + 3] for run in text.split(GAP) for i in range(len(run) - 2)) for text in _strings(_parser.parse(regex))}
+    found = {frozenset(g for run in text.split(GAP) for g in _grams(run)) for text in _strings(_parser.parse(regex))}
     return sorted((x for x in found if not any(y < x for y in found)), key=sorted)
 
 
@@ -137,13 +145,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
 
     Null texts are empty; empty texts have no spans; the same span may be found by several
     rules; repeated rows give equal results; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored; very long texts are searched whole.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     asked = sorted({g for r in rules for clause in trigram_query(r.regex) for g in clause})
     if asked:
         index = stage(build_index(rows, asked), "trigrams")
-        rows = rows.join(candidates(index, rules), "row", "left")
+        maybe = stage(candidates(index, rules), "candidates")
+        discard(docs.sparkSession, index)
+        few = maybe.count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(maybe) if few else maybe, "row", "left")
     none = F.array().cast("array<struct<start:int,place:int,stop:int,kind:string>>")
     found = []
     for i, rule in enumerate(rules):
