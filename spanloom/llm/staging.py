@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,12 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables whose readers have all finished."""
+    """Delete staged tables whose readers have all finished, and let go of the shuffle files of finished jobs.
+
+    Spark deletes those files only once the driver has collected the plans that made them.
+    """
     for table in tables:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
             _remove(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -15,8 +15,8 @@
    one.  Nothing is removed on the graph's word alone.
 
 Joins are equi-joins on hashes with the counted side aggregated first, so a common passage
-costs as many rows as it has occurrences; the counted side of the last join is a stored table, so
-that the rows of a very common window can be dealt to several tasks.  Texts move in two shuffles by row; no group is
+costs as many rows as it has occurrences; the counted sides are stored tables, so that the rows of
+a very common node or window can be dealt to several tasks.  Texts move in two shuffles by row; no group is
 collected beyond the word numbers of one document.
 """
 
@@ -94,7 +94,9 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
         .select("node", (F.expr("c0 = c1 and c0 <> 0")).alias("one_in"), (F.expr("w0 = w1 and w0 <> 0")).alias("one_out"))
     )
     mark = F.struct("at", "one_in", "one_out")
-    return anchors.select("rid", "at", "node").join(nodes, "node").groupBy("rid").agg(F.collect_list(mark).alias("marks"))
+    shared = stage(nodes, "nodes")
+    discard(anchors.sparkSession)
+    return anchors.select("rid", "at", "node").join(shared, "node").groupBy("rid").agg(F.collect_list(mark).alias("marks"))
 
 
 def path_spans(at: np.ndarray, doc: np.ndarray, one_in: np.ndarray, one_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
