@@ -2,6 +2,7 @@
 
 toxicity -> near duplicates -> benchmark decontamination -> mixing -> sharding.  All stages but
 the last return the columns of documents; rows that a stage rejects are gone for the next one.
+The order in which mixing writes the rows is their order in each shard.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in mixture order: files and their rows follow the schedule.
+    """All documents in mixture order: files and their rows follow the schedule, and so does each shard made of them.
 
     Nothing is dropped: null sources are a source, null and empty texts count one byte, repeated
     rows are rows; an empty table stays empty; columns named like the mixture's own are kept.
@@ -60,8 +61,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of every document; see ``sharding.shard_documents`` for nulls, repeats, long texts and empty tables."""
-    return sharding.shard_documents(docs)
+    """Shard and place of every document; see ``sharding.shard_documents`` for nulls, repeats, long texts and empty tables.
+
+    Places follow the order of the files, so reading a shard from 0 on is reading the mixture.
+    """
+    return sharding.shard_documents(docs, ordered=True)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SLOTS = 4096
+PIECE = 65_536
 
 
 def record_size(text: Column) -> Column:
@@ -162,7 +163,27 @@ def place(docs: DataFrame, slot_map: SlotMap, rows: list[int], key: str = "doc_i
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def place_in_order(docs: DataFrame, slot_map: SlotMap, piece: int = PIECE) -> DataFrame:
+    """Add ``shard`` and ``slot`` as ``place`` does, but along ``written`` (part, file, row), which is dropped.
+
+    Files are cut into pieces of ``piece`` rows.  A place is the shard's rows in earlier pieces plus
+    the rank within the own one, so no task sees more of a shard than a piece of a file, or one
+    count for each piece.
+    """
+    cut = {"__part": F.col("written.part"), "__file": F.col("written.file"), "__piece": F.expr(f"written.row div {piece}"), "__row": F.col("written.row")}
+    keyed = docs.withColumns({"shard": slot_map.shard_of(F.col("virtual_slot")), **cut}).drop("written")
+    group = ["shard", "__part", "__file", "__piece"]
+    counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("shard").orderBy(*group[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy("__row")))
+    placed = ranked.join(first, group).withColumn("slot", F.col("__first") + F.col("__rank") - 1)
+    return placed.drop(*group[1:], "__row", "__first", "__rank")
+
+
+def shard_documents(
+    docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, key: str = "doc_id", text: str = "text", ordered: bool = False, piece: int = PIECE
+) -> DataFrame:
     """Put every row of ``docs`` into a shard so that shard bytes are near equal.
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null under
@@ -170,11 +191,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
     the empty text; records of one key and those without are spread by text; repeated rows each get
     a place of their own; an empty table gives an empty result; other columns are ignored; a very
     long text counts whole, and its shard gets fewer others.  The map is stored at
-    ``map_path`` (default: the shared folder) and used as read back from there.
+    ``map_path`` (default: the shared folder) and used as read back from there.  With ``ordered``
+    the places in each shard follow the order in which the rows of ``docs`` were written (see
+    ``staging.written_order``), else that of virtual slots; the shards are the same.
     """
-    from .staging import new_path
+    from .staging import new_path, written_order
 
     spark = docs.sparkSession
+    docs, written = written_order(docs) if ordered else (docs, None)
     size, rows = slot_totals(docs, key, text, slots)
     path = map_path or new_path(spark, "slot-map")
     SlotMap.balanced(size, shards).save(spark, path)
@@ -184,8 +208,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
         record_size(F.col(text)).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
         virtual_slot(F.col(key), F.col(text), slots).alias("virtual_slot"),
+        *([written.alias("written")] if ordered else []),
     )
-    return place(lean, slot_map, rows).select(
+    placed = place_in_order(lean, slot_map, piece) if ordered else place(lean, slot_map, rows)
+    return placed.select(
         "doc_id",
         "size",
         "text_crc32",

@@ -1,7 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from spanloom.llm import staging, toxicity
+from spanloom.llm import mixing, sharding, staging, toxicity
 
 
 def _marked(rng, n, toxic):
@@ -70,3 +72,32 @@ def test_different_texts_under_one_id_stay(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, text("a")), (5, text("b")), (5, text("c")), (0, text("a"))])
+
+
+@pytest.mark.parametrize("piece", [7, sharding.PIECE])
+def test_shards_follow_the_mixture(spark, sf_dir, piece):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    due = {r.doc_id: (r.mix_slot, r.mix_hash) for r in mixing.mix(docs).select("doc_id", "mix_slot", "mix_hash").collect()}
+    mixed = staging.stage(corpus_pipeline.mix_sources(spark, docs, sf_dir), "mixing")
+    assert len(mixed.inputFiles()) > 1
+    plain = {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()}
+    found = corpus_pipeline.shard(spark, mixed, sf_dir) if piece == sharding.PIECE else sharding.shard_documents(mixed, ordered=True, piece=piece)
+    shards = [sorted((r.slot, r.doc_id) for r in found.collect() if r.shard == k) for k in range(8)]
+    assert sum(map(len, shards)) == len(due) == docs.count()
+    for k, rows in enumerate(shards):
+        assert [slot for slot, _ in rows] == list(range(len(rows)))
+        assert [i for _, i in rows] == sorted((i for _, i in rows), key=due.__getitem__)
+        assert all(plain[i] == k for _, i in rows)
+
+
+def test_order_of_rows_that_no_file_holds(spark, odd, odd_rows):
+    rows = [(i, f"text {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions(F.desc("doc_id"))
+    due = [r.doc_id for r in docs.collect()]
+    got = sharding.shard_documents(docs, ordered=True).collect()
+    for k in range(8):
+        ids = [r.doc_id for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)]
+        assert ids == [i for i in due if i in set(ids)]
+    got = sharding.shard_documents(odd, ordered=True).collect()
+    assert len(got) == len(odd_rows)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
