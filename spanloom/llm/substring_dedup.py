@@ -94,8 +94,7 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
         .select("node", (F.expr("c0 = c1 and c0 <> 0")).alias("one_in"), (F.expr("w0 = w1 and w0 <> 0")).alias("one_out"))
     )
     mark = F.struct("at", "one_in", "one_out")
-    shared = stage(nodes, "nodes")
-    discard(anchors.sparkSession)
+    shared = stage(nodes, "nodes", cleanup=True)
     return anchors.select("rid", "at", "node").join(shared, "node").groupBy("rid").agg(F.collect_list(mark).alias("marks"))
 
 
@@ -154,10 +153,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     known = docs.where(F.col("doc").isNotNull())
     anchors = stage(anchor_table(known, window, k), "anchors")
     marked = known.join(repeated_anchors(anchors).hint("shuffle_hash"), "rid").select("rid", "doc", "text", "marks")
-    found = stage(candidate_windows(marked, window, k), "windows")
+    found = stage(candidate_windows(marked, window, k), "windows", cleanup=True)
     discard(docs.sparkSession, anchors)
     least = found.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
-    return found.join(stage(least, "repeated"), ["h1", "h2"]).where("doc > lo").select("rid", "start", "stop")
+    return found.join(stage(least, "repeated", cleanup=True), ["h1", "h2"]).where("doc > lo").select("rid", "start", "stop")
 
 
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"

@@ -83,6 +83,15 @@ def thue_morse(n, a, b):
     return "".join((a, b)[x] for x in s), "".join((b, a)[x] for x in s)
 
 
+def test_substring_dedup_leaves_no_shuffle_files_of_finished_jobs(spark, small, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    monkeypatch.setattr(substring_dedup, "discard", lambda *a: None)  # as where the driver does not get to its garbage
+    before = files()
+    substring_dedup.drop_repeats(small[0])
+    assert not files() - before
+
+
 def test_words_that_polynomial_hashes_confuse(spark):
     pairs = [thue_morse(n, a, b) for n in (1024, 2048, 4096) for a, b in ("ab", "cd", "xy", "pq", "mn", "ef", "gh")]
     fill = [f"w{i}" for i in range(39)]
