@@ -55,8 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     taken = {c: f"held {i}" for i, c in enumerate(docs.columns) if c.startswith(("mix_", "__mix_"))}
-    mixed = mixing.mix(docs.withColumnsRenamed(taken))
-    ordered = mixed.repartitionByRange(n, "mix_slot", "mix_hash").sortWithinPartitions("mix_slot", "mix_hash")
+    ordered = mixing.mix_in_order(docs.withColumnsRenamed(taken), n)
     return ordered.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])
 
 

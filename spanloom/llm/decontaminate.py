@@ -364,14 +364,13 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
     def judged(block: Queries, dirty: bool) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in kernels.chunks(batch, text):
-                    words = Words(part.column(part.schema.get_field_index(text)), ALNUM, lower=True)
-                    segment = Segment.of(words, shared.value.vocabulary)
-                    n_hit = _per_document(segment, _hits(segment, shared.value)[0])
-                    yield part.filter(pa.array((n_hit > 0) == dirty))
+        def of(part: pa.RecordBatch) -> pa.RecordBatch:
+            words = Words(part.column(part.schema.get_field_index(text)), ALNUM, lower=True)
+            segment = Segment.of(words, shared.value.vocabulary)
+            n_hit = _per_document(segment, _hits(segment, shared.value)[0])
+            return part.filter(pa.array((n_hit > 0) == dirty))
 
+        run = kernels.by_chunk(of, text)
         if not dirty:
             return docs.mapInArrow(run, docs.schema)
         only = docs.select(text)

@@ -12,7 +12,8 @@ such parts in order.  Nothing in it is linear, and there is no Python loop over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -59,6 +60,26 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         start = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else a worker that waits for its next task keeps the most that it has ever needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def by_chunk(of: Callable[[pa.RecordBatch], pa.RecordBatch], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow``: ``of`` each chunk, whose working memory is free before the next one's is taken and given back after the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                yield of(part)
+        give_back()
+
+    return run
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32

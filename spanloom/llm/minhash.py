@@ -22,7 +22,6 @@ and components of verified links are the classes returned.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,21 +122,19 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """(doc, n, s1, s2, keys) of (doc, text) rows: distinct shingles, a 128-bit hash of their set, band keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernels.chunks(batch, "text"):
-                hashes, counts, ends = shingle_sets(Words(part.column(1), NOT_SPACE), shingle)
-                weights = counts.astype(float) if weighted else np.ones(len(hashes))
-                key = band_keys(dart_signatures(hashes, weights, ends, bands * rows), bands, rows)
-                full = np.diff(ends) > 0
-                sums = []
-                for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ np.uint64(salt)), dtype=np.uint64)])
-                    sums.append(total[ends[1:]] - total[ends[:-1]])
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), kernels.signed(np.ascontiguousarray(key[full]).ravel()))
-                yield pa.record_batch([part.column(0), pa.array(np.diff(ends)), kernels.signed(sums[0]), kernels.signed(sums[1]), keys], names=["doc", "n", "s1", "s2", "keys"])
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, counts, ends = shingle_sets(Words(part.column(1), NOT_SPACE), shingle)
+        weights = counts.astype(float) if weighted else np.ones(len(hashes))
+        key = band_keys(dart_signatures(hashes, weights, ends, bands * rows), bands, rows)
+        full = np.diff(ends) > 0
+        sums = []
+        for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ np.uint64(salt)), dtype=np.uint64)])
+            sums.append(total[ends[1:]] - total[ends[:-1]])
+        keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), kernels.signed(np.ascontiguousarray(key[full]).ravel()))
+        return pa.record_batch([part.column(0), pa.array(np.diff(ends)), kernels.signed(sums[0]), kernels.signed(sums[1]), keys], names=["doc", "n", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(run, _SIGNATURES)
+    return docs.mapInArrow(kernels.by_chunk(of, "text"), _SIGNATURES)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -147,18 +144,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     differ some print is in one set only, so sets differ in as many prints at least.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernels.chunks(batch, "text"):
-                hashes, _, ends = shingle_sets(Words(part.column(1), NOT_SPACE), shingle)
-                prints = (hashes >> np.uint64(32)).astype(np.uint32)
-                n = part.num_rows
-                place = np.repeat(np.arange(n), np.diff(ends)) * SKETCH + prints % SKETCH
-                odd = np.packbits((np.bincount(place, minlength=n * SKETCH) & 1).astype(bool)).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((ends, prints.view(np.int32)), (np.arange(n + 1) * (SKETCH // 64), odd))]
-                yield pa.record_batch([part.column(0), *lists], names=["doc", "prints", "odd"])
-
-    return docs.mapInArrow(run, "doc bigint, prints array<int>, odd array<bigint>")
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, _, ends = shingle_sets(Words(part.column(1), NOT_SPACE), shingle)
+        prints = (hashes >> np.uint64(32)).astype(np.uint32)
+        n = part.num_rows
+        place = np.repeat(np.arange(n), np.diff(ends)) * SKETCH + prints % SKETCH
+        odd = np.packbits((np.bincount(place, minlength=n * SKETCH) & 1).astype(bool)).view(np.int64)
+        lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((ends, prints.view(np.int32)), (np.arange(n + 1) * (SKETCH // 64), odd))]
+        return pa.record_batch([part.column(0), *lists], names=["doc", "prints", "odd"])
+
+    return docs.mapInArrow(kernels.by_chunk(of, "text"), "doc bigint, prints array<int>, odd array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -126,10 +126,10 @@ def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> tuple[DataFrame,
     before = Window.partitionBy("__mix_key").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__mix_key", "__mix_bucket", F.coalesce(F.sum("__mix_sum").over(before), F.lit(0)).alias("__mix_offset"))
     inside = Window.partitionBy("__mix_key", "__mix_bucket").orderBy("__mix_hash", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        keyed.join(offsets, ["__mix_key", "__mix_bucket"])
-        .withColumn("__mix_start", F.col("__mix_offset") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
-        .withColumn("mix_block", F.expr(f"__mix_start div {block_bytes}"))
+    placed = (  # the join finds the rows in the window's order, so texts are sorted once
+        keyed.withColumn("__mix_inside", F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
+        .join(offsets, ["__mix_key", "__mix_bucket"])
+        .withColumn("mix_block", F.expr(f"(__mix_offset + __mix_inside) div {block_bytes}"))
     )
     return placed, sums.groupBy("__mix_key").agg(F.sum("__mix_sum").alias("__mix_total"))
 
@@ -145,6 +145,22 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     document longer than a block leaves the block numbers it spans empty, as it uses their
     share; repeated rows are rows; an empty table gives an empty result.
     """
+    return _mixed(docs, weights, block_bytes, period, buckets)[0]
+
+
+def mix_in_order(docs: DataFrame, parts: int, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, buckets: int = BUCKETS) -> DataFrame:
+    """What ``mix`` gives in ``parts`` partitions that follow the schedule, as do the rows of each, by ``mix_slot`` and ``mix_hash``.
+
+    Each takes an equal run of slots, so of bytes.  The number of slots is known, so the texts are
+    not gone through a first time to find ranges, as ``repartitionByRange`` does.
+    """
+    mixed, slots = _mixed(docs, weights, block_bytes, period, buckets)
+    part = F.expr(f"mix_slot * {parts} div {max(1, slots)}").cast("int")
+    return mixed.repartitionById(parts, part).sortWithinPartitions("mix_slot", "mix_hash")
+
+
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, block_bytes: int, period: int, buckets: int) -> tuple[DataFrame, int]:
+    """What ``mix`` gives, and the number of slots of the schedule."""
     spark = docs.sparkSession
     placed, totals = _blocks(docs, block_bytes, buckets)
     counted = sorted((r["__mix_key"], -(-r["__mix_total"] // block_bytes)) for r in totals.collect())  # a name and a number for each source
@@ -172,7 +188,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
         .withColumn("__mix_j_", F.pmod(rel, F.col("__mix_share_")))
         .join(table, ["__mix_key", "mix_phase", "__mix_j_"])
     )
-    return out.select(
+    out = out.select(
         *[c for c in docs.columns if not c.startswith(("mix_", "__mix_"))],
         "mix_block",
         "mix_phase",
@@ -181,6 +197,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
         (cycle + F.col("__mix_slot_")).alias("mix_slot"),
         F.col("__mix_hash").alias("mix_hash"),
     )
+    return out, sum(run["slots"] for run in runs)
 
 
 def _taken(run: dict, i: int) -> int:

@@ -233,10 +233,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 def ordinary_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with a score under 0.5, all columns; texts are treated as by ``score_documents``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernels.chunks(batch, text):
-                score = _scores(part.column(part.schema.get_field_index(text)), model)
-                yield part.filter(pc.less(score, 0.5))
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        score = _scores(part.column(part.schema.get_field_index(text)), model)
+        return part.filter(pc.less(score, 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernels.by_chunk(of, text), docs.schema)
