@@ -137,3 +137,35 @@ def test_packs_are_the_same_by_all_ways(spark):
     want = {r.doc_id: (r.p.sha256, r.p.json and len(r.p.json)) for r in docs.select("doc_id", packs.fact_pack(F.col("text"), opts).alias("p")).collect()}
     assert {r.doc_id: (r.sha256, r.length) for r in packs.fact_digests(docs, opts).collect()} == {k: v if v[0] else (None, None) for k, v in want.items()}
     assert {tuple(r) for r in tokens.word_counts(docs).collect()} >= {("One", 2), ("a", 1)}
+
+
+def test_pack_text_is_the_pack_as_canonical_json():
+    from spanloom.functions import kernels
+    from spanloom.functions.security import Skeletons
+
+    known = ({}, {})
+    for opts in ({"sections": {"security": True, "variants": True, "fingerprint": True}}, {"maxTokens": 3, "topK": 2, "maxFingerprints": 1, "maxExamples": 0, "sections": {"security": True, "variants": True, "fingerprint": True, "profile": True}}):
+        for t in [*texts(60, 200, 8), "", "a A ａ A b a " * 9, "Müller müller müller \"x\" \U0001f600 文字", "rnodern modern Modern 12l 121"]:
+            assert pack.pack_v1_text(t, opts, Skeletons({ord("m"): "rn"}), known) == kernels.jcs(pack.pack_v1(t, opts, Skeletons({ord("m"): "rn"})))
+    with pytest.raises(ValueError, match="NONCHARACTER"):
+        pack.pack_v1_text("x", {"note": "\ufdd0", "includeInputText": True, "sections": {}} | {"inputTextEncoding": "string"})
+
+
+def test_packs_of_many_tokens_take_little_time():
+    opts = {"maxSpans": 20, "sections": {"security": True, "variants": True, "fingerprint": True}}
+    rng = random.Random(1)
+    text = " ".join(f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(40_000))
+    began = time.process_time()
+    pack.pack_v1_text(text, opts)
+    assert time.process_time() - began < 4
+
+
+def test_code_units_round_trip(spark):
+    from spanloom.functions import protocol
+
+    docs = spark.createDataFrame([(1, "a\U0001f600é" * 700), (2, ""), (3, None), (4, "﷐")], "doc_id long, text string")
+    got = docs.select("text", protocol.encode_envelope(F.col("text"), "utf16-code-units").alias("e")).select("text", "e.code_units", protocol.decode_envelope(F.col("e")).alias("back")).collect()
+    assert all(r.back == r.text for r in got) and got[0].code_units[:4] == [97, 0xD83D, 0xDE00, 0xE9] and got[2].code_units is None
+    bad = spark.sql("select struct(1 as v, 'utf16-code-units' as kind, string(null) as text, string(null) as base64, array(65, 70000) as code_units) as e")
+    assert bad.select(protocol.decode_envelope(F.col("e"), strict=False)).first()[0] is None
+    assert docs.select(protocol.encode_envelope(F.col("text")).alias("e")).where("e.kind = 'utf16-code-units'").first().e.code_units == [0xFDD0]
