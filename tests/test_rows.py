@@ -169,3 +169,13 @@ def test_code_units_round_trip(spark):
     bad = spark.sql("select struct(1 as v, 'utf16-code-units' as kind, string(null) as text, string(null) as base64, array(65, 70000) as code_units) as e")
     assert bad.select(protocol.decode_envelope(F.col("e"), strict=False)).first()[0] is None
     assert docs.select(protocol.encode_envelope(F.col("text")).alias("e")).where("e.kind = 'utf16-code-units'").first().e.code_units == [0xFDD0]
+
+
+def test_a_corpus_pack_has_all_its_sections(spark):
+    docs = spark.createDataFrame([(1, "One a. Two b. One a. "), (2, "One a. Two b. \u202ex \u05d0"), (2, "One"), (3, None)], "doc_id long, text string")
+    got = {(r.section, r.item): r["count"] for r in packs.corpus_pack(docs, top=1).collect()}
+    assert got["totals", "duplicate_sentences"] == 1 and got["totals", "repeated_ngrams"] == 3 and ("duplicate_sentences", "One a. ") in got
+    assert (got["totals", "tokens"], got["totals", "ngrams"], got["totals", "windows"]) == (13, 10, 8) == (got["summary", "words"], 10, 8)
+    assert got["summary", "sentences"] == 6 and got["summary", "documents"] == 4
+    assert [got["security", c] for c in ("has_bidi_controls", "bidi_controls", "mixed_direction", "mixed_direction_docs")] == [1, 1, 1, 1]
+    assert got["repetition", "One a"] == got["ngrams", "One a"] == 3
